@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from . import problems
+
+QUERIES: dict = {**problems.QUERIES}
 SQL: dict = {}
-FLAGSHIP = "relations_by_type"
+FLAGSHIP = "p4_found"
