@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,6 +55,9 @@ _ITEM = re.compile(r"\n[^\S\n]*(?=(?:[-–—•*‣▪·◦][^\S\n]+|\(?(?:\d{1
 _ITEM_HEAD = re.compile(r"\s*(?:[-–—•*‣▪·◦]|\(?(?:\d{1,2}|[a-z])\))\s")
 _END = re.compile(f"[{re.escape(TERMINALS)}]+[{re.escape(CLOSERS)}]*")
 _THAI_GAP = re.compile("(?<=[\\u0e00-\\u0e7f0-9)）%\\]A-Za-z])\\s+(?=[\\u0e00-\\u0e7f])|(?<=[\\u0e00-\\u0e7f])\\s+(?=\\S)")
+_THAI = re.compile("[\u0e01-\u0e4e]")
+_MARK = re.compile("[" + re.escape("".join(sorted(QUOTES | BRACKETS | set(OPEN_OF))) + '"') + "]")
+_LONE = re.compile(f"(?<!\\S)[{UNSEEN}]+(?!\\S)")
 _TOKEN = re.compile(r"[^\s(\[（“„«「‘\"]+$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _HIDDEN = re.compile(f"[{UNSEEN}]")
@@ -61,6 +65,8 @@ _PLAIN_END = re.compile(f"[{re.escape(TERMINALS)}:;,][{re.escape(CLOSERS)}\\s]*$
 
 #: Candidate ends a span may skip; longer spans than this never win, whatever the text length.
 MAX_SKIPPED = 48
+#: Words a sentence may have before no further candidate start is tried for it.
+MAX_WORDS = 400
 NEVER = -9.0
 
 
@@ -71,7 +77,7 @@ def _plain(token: str) -> str:
 
 
 def _is_thai(text: str) -> bool:
-    return any("ก" <= c <= "๎" for c in text)
+    return _THAI.search(text) is not None
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -98,7 +104,8 @@ def _pairs(s: str) -> list[tuple[int, int, bool]]:
     """Matched quotations and brackets of a block: ``(open, close, is_quote)``. Unmatched marks count as none."""
     stack: list[tuple[str, int]] = []
     out = []
-    for i, c in enumerate(s):
+    for m in _MARK.finditer(s):
+        i, c = m.start(), m[0]
         if c in QUOTES or c in BRACKETS:
             if c == "“" and stack and stack[-1][0] == "„":
                 out.append((stack.pop()[1], i, True))
@@ -205,8 +212,6 @@ def _opening(follows: str) -> float:
 
 
 def _length(words: int) -> float:
-    if words < 1:
-        return -4.0
     return (-1.0 if words == 1 else 0.0) - 0.02 * max(0, words - 45)
 
 
@@ -259,25 +264,28 @@ def block_spans(s: str, is_item: bool = False) -> list[tuple[int, int]]:
                 inside[k] += 7.0 if quote else 5.0
     opening = [1.0, *(_opening(s[p[1] : p[1] + 2]) for p in points[1:])]
     # Words up to each point, so that the length of any span is a difference.
-    upto, k = [0] * len(points), 0
     starts = [w.start() for w in _WORD.finditer(s)] if not thai else list(range(0, n, 4))
-    for i, p in enumerate(points):
-        while k < len(starts) and starts[k] < p[0]:
-            k += 1
-        upto[i] = k
+    upto = [bisect_left(starts, p[0]) for p in points]
     best = [0.0] * len(points)
     back = [0] * len(points)
     for j in range(1, len(points)):
         top, at = -1e18, j - 1
-        for i in range(max(0, j - MAX_SKIPPED), j):
+        # From the shortest span to the longest; beyond the longest sentence no span can win.
+        for i in range(j - 1, max(0, j - MAX_SKIPPED) - 1, -1):
             words = upto[j] - upto[i]
-            if not words and re.search(r"[^\W_]", s[points[i][1] : points[j][0]]):
-                words = 0.5
+            if words > MAX_WORDS and i < j - 1:
+                break
+            if 1 < words <= 45:
+                length = 0.0
+            elif not words:
+                length = -4.0
+            else:
+                length = _length(words)
             # A cut costs as much as an average boundary earns, so weak boundaries are left inside.
-            value = best[i] + opening[i] + _length(words) - inside[i] - inside[j] - 2.0
-            if value > top:
+            value = best[i] + opening[i] + length - inside[i] - 2.0
+            if value >= top:
                 top, at = value, i
-        best[j] = top + points[j][2]
+        best[j] = top + points[j][2] - inside[j]
         back[j] = at
     spans, j = [], len(points) - 1
     while j:
@@ -320,7 +328,8 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
             covered = y
             out.append((x, y))
     if kept is not None:
-        out += [(m.start(), m.end()) for m in re.finditer(r"\S+", text) if all(c in UNSEEN for c in m[0]) and not any(x < m.end() and m.start() < y for x, y in out)]
+        taken = {x for x, _ in out} | {y for _, y in out}
+        out += [(m.start(), m.end()) for m in _LONE.finditer(text) if m.start() not in taken and m.end() not in taken and not any(x < m.end() and m.start() < y for x, y in out)]
         out.sort()
     return out
 
