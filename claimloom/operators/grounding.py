@@ -1,0 +1,112 @@
+"""Finding quotes in page texts: exact in the JVM, blank-insensitive and fuzzy in Arrow batches for the rest."""
+
+from __future__ import annotations
+
+import re
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+#: Shortest quote that is looked for, smallest ratio of a fuzzy hit, places tried for one anchor.
+MIN_QUOTE = 8
+FUZZY_RATIO = 0.82
+MAX_PLACES = 24
+ANCHORS = 12
+_HIT = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("ratio", DoubleType()), StructField("how", StringType())])
+
+
+def collapse(text: str) -> tuple[str, list[int]]:
+    """``text`` with runs of blanks as one, and the offset of each kept character."""
+    out, at, blank = [], [], True
+    for i, c in enumerate(text):
+        if c.isspace():
+            if not blank:
+                out.append(" ")
+                at.append(i)
+            blank = True
+        else:
+            out.append(c)
+            at.append(i)
+            blank = False
+    if out and out[-1] == " ":
+        out.pop()
+        at.pop()
+    return "".join(out), at
+
+
+def places(haystack: str, needle: str, limit: int = MAX_PLACES) -> list[int]:
+    """The first ``limit`` places where ``needle`` stands."""
+    found, i = [], haystack.find(needle)
+    while i >= 0 and len(found) < limit:
+        found.append(i)
+        i = haystack.find(needle, i + 1)
+    return found
+
+
+def anchor_of(quote: str, haystack: str) -> str | None:
+    """The longest of the twelve longest words (six characters or more) of a quote that the text holds."""
+    words = sorted({w for w in re.findall(r"\S+", quote) if len(w) >= 6}, key=lambda w: (-len(w), w))
+    return next((w for w in words[:ANCHORS] if w in haystack), None)
+
+
+def locate_quote(text: str | None, quote: str | None, ratio: float = FUZZY_RATIO) -> tuple[int, int, float, str] | None:
+    """``(start, end, ratio, how)`` of a quote in a text: exact, with other blanks, or fuzzy around an anchor word.
+
+    Null or blank texts, and quotes under eight characters, are not found.
+    """
+    if not text or not quote or len(quote := quote.strip()) < MIN_QUOTE:
+        return None
+    i = text.find(quote)
+    if i >= 0:
+        return i, i + len(quote), 1.0, "exact"
+    flat, at = collapse(text)
+    short, _ = collapse(quote)
+    low, wanted = flat.lower(), short.lower()
+    for hay, needle in ((flat, short), (low, wanted)):
+        i = hay.find(needle) if len(hay) == len(flat) else -1
+        if i >= 0:
+            return at[i], at[i + len(needle) - 1] + 1, 0.99, "blanks"
+    anchor = anchor_of(wanted, low)
+    if anchor is None or len(low) != len(flat):
+        return None
+    shift = wanted.find(anchor)
+    best: tuple[float, int, int] | None = None
+    for p in places(low, anchor):
+        lo = max(0, p - shift - 30)
+        window = low[lo : lo + len(wanted) + 60]
+        match = SequenceMatcher(None, window, wanted, autojunk=False)
+        parts = [b for b in match.get_matching_blocks() if b.size]
+        if not parts or max(b.size for b in parts) < 0.5 * len(wanted) and sum(b.size for b in parts) < 0.5 * len(wanted):
+            continue
+        a, b = parts[0].a, parts[-1].a + parts[-1].size
+        score = SequenceMatcher(None, window[a:b], wanted, autojunk=False).ratio()
+        if score >= ratio and (best is None or score > best[0]):
+            best = (score, lo + a, lo + b)
+    return (at[best[1]], at[best[2] - 1] + 1, round(best[0], 4), "fuzzy") if best else None
+
+
+@pandas_udf(_HIT)
+def _locate_udf(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([locate_quote(t, q) or (None, None, None, None) for t, q in zip(text, quote, strict=True)], columns=_HIT.names).astype({"start": "Int32", "end": "Int32"})
+
+
+def ground(quotes: DataFrame, pages: DataFrame, doc: str = "doc_id", page: str = "page", quote: str = "quote", text: str = "text", fuzzy: bool = True) -> DataFrame:
+    """Quotes with ``char_start, char_end, ratio, how`` on their page; nulls where they are not found.
+
+    The exact search runs in the JVM and settles most rows; only the rest reach the Python matcher, in their own
+    branch, so that exact rows never cross into Python.
+    """
+    texts = pages.select(F.col(doc), F.col(page), F.col(text).alias("__text"))
+    joined = quotes.join(texts, [doc, page], "left").withColumn("__at", F.when(F.length(F.trim(quote)) >= MIN_QUOTE, F.call_function("locate", F.trim(quote), F.col("__text"))).otherwise(0))
+    hit = F.coalesce(F.col("__at"), F.lit(0)) > 0
+    exact = joined.where(hit).withColumns({"char_start": F.col("__at") - 1, "char_end": F.col("__at") - 1 + F.length(F.trim(quote)), "ratio": F.lit(1.0), "how": F.lit("exact")})
+    rest = joined.where(~hit)
+    if fuzzy:
+        rest = rest.withColumn("__h", _locate_udf("__text", quote)).withColumns({"char_start": F.col("__h.start"), "char_end": F.col("__h.end"), "ratio": F.col("__h.ratio"), "how": F.col("__h.how")}).drop("__h")
+    else:
+        rest = rest.withColumns({"char_start": F.lit(None).cast("int"), "char_end": F.lit(None).cast("int"), "ratio": F.lit(None).cast("double"), "how": F.lit(None).cast("string")})
+    return exact.drop("__text", "__at").unionByName(rest.drop("__text", "__at"))

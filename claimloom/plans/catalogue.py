@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, reconcile
 
-QUERIES: dict = {**problems.QUERIES}
-SQL: dict = {}
-FLAGSHIP = "p4_found"
+QUERIES: dict = {**problems.QUERIES, **reconcile.QUERIES}
+SQL: dict = {**reconcile.SQL}
+FLAGSHIP = "relations_by_type"
