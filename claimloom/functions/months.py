@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +28,22 @@ PLAIN = "012345678901234567890123456789/:.,-()+%" + "---"
 NAMES = "|".join(sorted((w for line in MONTHS for w in line.split()), key=lambda w: (-len(w), w)))
 
 
+def lookup(table: dict, key: Column, kind: str) -> Column:
+    """The value of ``key`` in a small fixed table, null if it has none. The table travels as one literal, which keeps
+    plans small where a map literal would add two nodes an entry."""
+    packed = F.lit("|" + "".join(f"{k}={v}|" for k, v in table.items()))
+    mark = F.concat(F.lit("|"), key, F.lit("="))
+    return F.when(packed.contains(mark) & ~key.rlike("[|=]"), F.substring_index(F.call_function("substring_index", packed, mark, F.lit(-1)), "|", 1).cast(kind))
+
+
+def listed(items: list[str], key: Column) -> Column:
+    """Whether ``key`` is one of many fixed strings, which travel as one literal."""
+    return F.lit("|" + "|".join(items) + "|").contains(F.concat(F.lit("|"), key, F.lit("|"))) & ~key.contains("|")
+
+
 def month_number(name: Column) -> Column:
     """1 to 12 of a lower-case month name, null of any other word."""
-    table = F.create_map(*chain.from_iterable((F.lit(w), F.lit(i)) for i, line in enumerate(MONTHS, 1) for w in line.split()))
-    return F.try_element_at(table, name)
+    return lookup({w: i for i, line in enumerate(MONTHS, 1) for w in line.split()}, name, "int")
 
 
 def tidy(text: Column) -> Column:
@@ -48,10 +58,8 @@ def groups(text: Column, pattern: str, count: int) -> Column:
 
 def date_of(y: Column, m: Column, d: Column) -> Column:
     """The date of three integers; null, not an error, where there is no such day."""
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    good = y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= days)
-    return F.when(good, F.make_date(y, m, d))
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(y, m, d, zero, zero, zero).cast("date")
 
 
 def full_year(text: Column) -> Column:
@@ -66,11 +74,10 @@ def let(value: Column, body) -> Column:
 
 
 def cascade(text: Column, steps: list[tuple]) -> Column:
-    """First step ``(pattern, groups, result)`` whose anchored pattern holds decides; null where none does."""
-    def step(result, rest):
-        return lambda g: F.when(F.size(g) > 1, result(g)).otherwise(rest)
-
-    out = F.lit(None)
-    for pattern, count, result in reversed(steps):
-        out = let(groups(text, pattern, count), step(result, out))
-    return out
+    """First step ``(pattern, groups, result)`` whose anchored pattern holds decides, even with a null result; null
+    where none holds. Steps stand side by side, not nested, so that the plan grows in proportion to their number."""
+
+    def step(result):
+        return lambda g: F.when(F.size(g) > 1, F.struct(result(g).alias("v")))
+
+    return F.coalesce(*[let(groups(text, pattern, count), step(result)) for pattern, count, result in steps])["v"]

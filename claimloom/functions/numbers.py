@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .months import lookup
+
 # Scale words and what they multiply by.
 SCALE_WORDS = {
     "hundred": 1e2, "thousand": 1e3, "k": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "million": 1e6, "millions": 1e6, "mn": 1e6, "mln": 1e6, "m": 1e6,
@@ -17,7 +17,7 @@ HEDGES = ("about", "approximately", "approx", "around", "nearly", "roughly", "ci
 
 BLANK = r"\s\x{00a0}\x{2007}\x{2009}\x{202f}"
 #: Plain digits come before grouped ones only where no group follows, so a long ungrouped number stays whole.
-BODY = rf"(?:\d{{1,3}}(?:[,{BLANK}]\d{{2,3}})+(?!\d)(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)"
+BODY = rf"(?:\d{{1,3}}(?:[,{BLANK}]\d{{2,3}})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)"
 #: The ordered alternatives of the original grammar, which cut ungrouped numbers after three digits.
 STRICT_BODY = rf"(?:\d{{1,3}}(?:[,{BLANK}]\d{{2,3}})*(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)"
 
@@ -29,10 +29,6 @@ def number_pattern(strict: bool = False) -> str:
 _SCALES = "|".join(sorted(SCALE_WORDS, key=lambda w: (-len(w), w)))
 
 
-def literal_map(table: dict) -> Column:
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
-
-
 def strip_grouping(body: Column) -> Column:
     return F.regexp_replace(body, rf"[,{BLANK}]", "")
 
@@ -48,7 +44,7 @@ def plausible_grouping(body: Column) -> Column:
 
 def scale_for(token: Column) -> Column:
     """Multiplier of a scale word, null of any other; case, outer blanks and a final point do not count."""
-    return F.try_element_at(literal_map(SCALE_WORDS), F.regexp_replace(F.lower(F.trim(token)), r"\.+$", ""))
+    return lookup(SCALE_WORDS, F.regexp_replace(F.lower(F.trim(token)), r"\.+$", ""), "double")
 
 
 def scale_suffix(tail: Column) -> Column:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .months import cascade, date_of, full_year, let
-from .numbers import literal_map
+from .months import cascade, date_of, let, lookup
 
 # English month names and their short forms.
 _MONTHS = {m: i for i, names in enumerate(("january jan", "february feb", "march mar", "april apr", "may", "june jun", "july jul", "august aug", "september sep sept", "october oct", "november nov", "december dec"), 1) for m in names.split()}
@@ -24,7 +23,7 @@ FISCAL_MARGIN = 1.25
 
 
 def month_of(name: Column) -> Column:
-    return F.try_element_at(literal_map(_MONTHS), F.lower(name))
+    return lookup(_MONTHS, F.lower(name), "int")
 
 
 def last_day_of(year: Column, month: Column) -> Column:

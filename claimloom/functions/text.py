@@ -50,10 +50,10 @@ def density_score(text: Column) -> Column:
     """How many facts a passage is likely to hold, 0 to 1: digits and telling words; short passages count 0.4."""
     n = F.length(F.trim(text))
     digits = F.length(F.regexp_replace(text, r"[^0-9]", ""))
-    marks = F.regexp_count(F.lower(text), F.lit(rf"\b(?:{DENSE_WORDS})\b"))
+    marks = F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z0-9_])(?:{DENSE_WORDS})(?![a-z0-9_])"))
     score = 0.55 * F.least(F.lit(1.0), 6.0 * digits / n) + 0.45 * F.least(F.lit(1.0), marks / 6.0)
     scaled = F.when(n < 60, score * 0.4).otherwise(score)
-    return F.when(n > 0, F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled)), 4)).otherwise(0.0)
+    return F.when(n > 0, F.rint(F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled)) * 10_000) / 10_000).otherwise(0.0)
 
 
 def published_date(first_pages: Column, meta: Column) -> Column:

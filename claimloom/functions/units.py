@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .months import let
-from .numbers import BLANK, SCALE_WORDS, literal_map, parse_number, scale_for, scale_suffix
+from .months import let, lookup
+from .numbers import BLANK, SCALE_WORDS, parse_number, scale_for, scale_suffix
 
 # Currency markers and their codes.
 CURRENCY_CODES = {
@@ -24,7 +24,7 @@ _WORDS = "|".join(sorted(SCALE_WORDS, key=lambda w: (-len(w), w)))
 
 def _last_currency(text: Column, strict: bool) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({_STRICT_MARKERS if strict else _MARKERS})"), F.lit(1))
-    return F.try_element_at(literal_map(CURRENCY_CODES), F.try_element_at(found, F.lit(-1)))
+    return lookup(CURRENCY_CODES, F.try_element_at(found, F.lit(-1)), "string")
 
 
 def detect_currency(before: Column, strict: bool = False) -> Column:
@@ -74,9 +74,9 @@ def build_quantity(text: Column, unit_hint: Column, magnitude_hint: Column, stri
         cur = F.coalesce(detect_currency(n["prefix"], strict), _last_currency(F.coalesce(unit_hint, F.lit("")), strict))
         near = F.lower(F.regexp_extract(rest, r"^[\s-]*([A-Za-z]+)", 1))
         second = F.lower(F.regexp_extract(rest, r"^[\s-]*[A-Za-z]+\s+([A-Za-z]+)", 1))
-        known = lambda w: F.try_element_at(literal_map(MASS), w).isNotNull() | F.try_element_at(literal_map(DURATION), w).isNotNull()
+        known = lambda w: lookup(MASS, w, "double").isNotNull() | lookup(DURATION, w, "double").isNotNull()
         noun = F.when(known(near), near).otherwise(second) if not strict else F.when(second != "", second).otherwise(near)
-        mass, days = F.try_element_at(literal_map(MASS), noun), F.try_element_at(literal_map(DURATION), noun)
+        mass, days = lookup(MASS, noun, "double"), lookup(DURATION, noun, "double")
         hint_pct = from_hint(unit_hint).rlike(r"%|per ?cent|percent")
         kind = F.when(pct.isNotNull(), "percent").when(cur.isNotNull(), "currency").when(mass.isNotNull(), "count").when(days.isNotNull(), "duration").when(hint_pct, "percent").otherwise("other")
         unit = F.when(pct.isNotNull() | ((kind == "percent")), "percent").when(kind == "currency", cur).when(kind == "count", "kg").when(kind == "duration", "days")

@@ -6,12 +6,10 @@ occurs twice (clocks set back) means the first, one that is skipped (clocks set
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.months import NAMES, cascade, date_of, full_year, groups, let, month_number, tidy
+from ..functions.months import NAMES, cascade, date_of, full_year, groups, let, listed, lookup, month_number, tidy
 
 # Zone abbreviations and their offsets from UTC in minutes.
 ZONES = {
@@ -104,11 +102,10 @@ def _number(text: Column, home: Column) -> Column:
 
 def _offset_minutes(zone: Column) -> Column:
     """Minutes of an offset such as +05:30, +0530 or +05, or of a zone abbreviation."""
-    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in ZONES.items()))
     hhmm = F.regexp_replace(zone, ":", "")
     sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
     minutes = F.when(F.length(hhmm) > 3, F.substring(hhmm, 4, 2).cast("int")).otherwise(0)
-    return F.when(zone.rlike("^[+-]"), sign * (F.substring(hhmm, 2, 2).cast("int") * 60 + minutes)).otherwise(F.try_element_at(table, zone))
+    return F.when(zone.rlike("^[+-]"), sign * (F.substring(hhmm, 2, 2).cast("int") * 60 + minutes)).otherwise(lookup(ZONES, zone, "int"))
 
 
 def _time_of_day(part: Column) -> Column:
@@ -127,11 +124,11 @@ def moment(text: Column, order: Column, home_tz: Column, zones: list[str]) -> Co
     (9 or 10, with or without decimals), milliseconds (12 or 13), microseconds (16) or nanoseconds (19). A day without
     a time is midnight. What carries no zone is on the clock of ``home_tz``; with neither, it is null.
     """
-    home = F.when(home_tz.isin(zones), home_tz)
+    home = F.when(listed(zones, home_tz), home_tz)
 
     def placed(part: Column, local: Column) -> Column:
         zone = F.lower(part[6])
-        return F.when(zone != "", local - _offset_minutes(zone).cast("bigint") * 60_000).when(part[7] != "", F.when(part[7].isin(zones), local_to_utc(local, part[7]))).otherwise(local_to_utc(local, home))
+        return F.when(zone != "", local - _offset_minutes(zone).cast("bigint") * 60_000).when(part[7] != "", F.when(listed(zones, part[7]), local_to_utc(local, part[7]))).otherwise(local_to_utc(local, home))
 
     def clocked(part: Column) -> Column:
         day = day_of(F.regexp_replace(F.lower(part[0]), "[, t]+$", ""), order)
@@ -184,8 +181,7 @@ def window_days(raw: Column, order: Column, fy_end: Column) -> Column:
 
     def up_to(g: Column) -> Column:
         lengths = {"year": 12, "half-year": 6, "half year": 6, "quarter": 3, "month": 1, "twelve": 12, "nine": 9, "six": 6, "three": 3, "12": 12, "9": 9, "6": 6, "3": 3}
-        table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in lengths.items()))
-        months = F.try_element_at(table, F.concat(g[0], g[1]))
+        months = lookup(lengths, F.concat(g[0], g[1]), "int")
         return let(day_of(g[2], order), lambda end: F.struct(F.add_months(F.date_add(end, 1), -months).alias("first"), end.alias("last")))
 
     three, twelve, one = F.lit(3), F.lit(12), F.lit(1)
@@ -224,7 +220,8 @@ def fact_windows(facts: DataFrame, documents: DataFrame, sources: DataFrame) ->
     df = stated.join(habits, "doc_id", "left")
     df = with_moments(df, ["period_start", "period_end"], "date_order", "home_tz")
     df = df.withColumn("w", F.when(F.col("in_words"), window_days(F.col("raw"), F.col("date_order"), F.col("fy_end_month"))))
-    midnight = lambda d: F.when(F.col("home_tz").isNotNull(), local_to_utc(F.unix_date(d).cast("bigint") * _DAY_MS, F.col("home_tz")))
+    zones = known_zones(facts.sparkSession)
+    midnight = lambda d: F.when(listed(zones, F.col("home_tz")), local_to_utc(F.unix_date(d).cast("bigint") * _DAY_MS, F.col("home_tz")))
     df = df.select(
         "id",
         "extracted_at",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems, reconcile
+from . import functions, problems, reconcile
 
-QUERIES: dict = {**problems.QUERIES, **reconcile.QUERIES}
-SQL: dict = {**reconcile.SQL}
+QUERIES: dict = {**problems.QUERIES, **reconcile.QUERIES, **functions.QUERIES}
+SQL: dict = {**reconcile.SQL, **functions.SQL}
 FLAGSHIP = "relations_by_type"
