@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from .months import let
-
 # Words dropped before a name, after it, and inside it; names that only point.
 HONORIFICS = "mr mrs ms miss dr prof shri smt sri sh hon justice capt col gen rev sir".split()
 SUFFIXES = "limited ltd llp llc inc incorporated corp corporation plc pvt private co company gmbh sa nv bv ag holdings group and &".split()
@@ -53,7 +51,7 @@ def key_of_plain(name: Column) -> Column:
         kept = F.filter(ws, lambda w: ~in_list(w, ARTICLES))
         return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(ws), " ")
 
-    return let(words, lambda ws: let(front(ws), lambda f: let(back(f), inner)))
+    return inner(back(front(words)))
 
 
 def entity_key(name: Column) -> Column:
@@ -67,7 +65,8 @@ def is_pointing(name: Column) -> Column:
 
 def initials_form(key: Column) -> Column:
     """Initials of all words but the last, then the last: "suvir suren sujan" gives "s s sujan"."""
-    return let(F.split(key, " "), lambda w: F.array_join(F.concat(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: F.substring(x, 1, 1)), F.slice(w, -1, 1)), " "))
+    w = F.split(key, " ")
+    return F.array_join(F.concat(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: F.substring(x, 1, 1)), F.slice(w, -1, 1)), " ")
 
 
 def same_entity(a: Column, b: Column) -> Column:
@@ -80,4 +79,6 @@ def same_entity(a: Column, b: Column) -> Column:
         starts = (F.slice(longer, 1, F.greatest(F.size(shorter), F.lit(1))) == shorter) & (F.length(shorter[0]) > 3)
         return (x == y) | starts | ((F.size(wx) >= 2) & (F.size(wy) >= 2) & (initials_form(x) == initials_form(y)))
 
-    return let(entity_key(a), lambda x: let(entity_key(b), lambda y: F.when((x == "") | (y == ""), x == y).otherwise(decide(x, y))))
+    # No ``let`` here: the accent-folding UDF may not stand inside a lambda.
+    x, y = entity_key(a), entity_key(b)
+    return F.when((x == "") | (y == ""), x == y).otherwise(decide(x, y))

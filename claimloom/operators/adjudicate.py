@@ -42,16 +42,13 @@ def compare_values(a: Column, b: Column) -> Column:
 
 
 def _marks(p: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(p["raw"], F.lit(""))), F.lit(r"(?<![a-z0-9])(q[1-4]|[1-4]q|h[12])(?![a-z])"), F.lit(1)))
-
-
-def _normal_marks(p: Column) -> Column:
-    return F.transform(_marks(p), lambda m: F.when(m.rlike("^[1-4]q$"), F.concat(F.lit("q"), F.substring(m, 1, 1))).otherwise(m))
+    """Quarter and half-year labels in a period's text, such as q2 or h1."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(p["raw"], F.lit(""))), F.lit(r"(?<![a-z])(q[1-4]|h[12])(?![a-z])"), F.lit(1)))
 
 
 def compare_periods(a: Column, b: Column) -> Column:
     """``struct<status, overlaps, shared_tokens>``; status is same, different, label_collision or unknown."""
-    shared = F.array_intersect(_normal_marks(a), _normal_marks(b))
+    shared = F.array_intersect(_marks(a), _marks(b))
     meet = overlaps(a, b)
     collide = (F.size(shared) > 0) & (~a["kind"].eqNullSafe(b["kind"]) | ~meet)
     same_text = F.lower(F.trim(a["raw"])) == F.lower(F.trim(b["raw"]))

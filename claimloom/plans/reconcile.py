@@ -61,8 +61,8 @@ marked as (
         a.q_mag is distinct from b.q_mag or a.q_unit is distinct from b.q_unit converted,
         a.p_start is not null and a.p_end is not null ra, b.p_start is not null and b.p_end is not null rb,
         case when a.p_start is not null and a.p_end is not null and b.p_start is not null and b.p_end is not null then a.p_start <= b.p_end and b.p_start <= a.p_end end meet,
-        list_sort(list_distinct(list_transform(regexp_extract_all(' ' || regexp_replace(lower(coalesce(a.p_raw, '')), '([^a-z0-9])', '\1\1', 'g') || ' ', '[^a-z0-9](q[1-4]|[1-4]q|h[12])[^a-z]', 1), lambda x: case when x[2] = 'q' then 'q' || x[1] else x end))) ma,
-        list_sort(list_distinct(list_transform(regexp_extract_all(' ' || regexp_replace(lower(coalesce(b.p_raw, '')), '([^a-z0-9])', '\1\1', 'g') || ' ', '[^a-z0-9](q[1-4]|[1-4]q|h[12])[^a-z]', 1), lambda x: case when x[2] = 'q' then 'q' || x[1] else x end))) mb,
+        list_distinct(regexp_extract_all(' ' || regexp_replace(lower(coalesce(a.p_raw, '')), '([^a-z])', '\1\1', 'g') || ' ', '[^a-z](q[1-4]|h[12])[^a-z]', 1)) ma,
+        list_distinct(regexp_extract_all(' ' || regexp_replace(lower(coalesce(b.p_raw, '')), '([^a-z])', '\1\1', 'g') || ' ', '[^a-z](q[1-4]|h[12])[^a-z]', 1)) mb,
         list_filter(a.bs, lambda x: not list_contains(b.bs, x)) only_a, list_filter(b.bs, lambda x: not list_contains(a.bs, x)) only_b,
         a.est <> b.est and a.est <> 'unknown' and b.est <> 'unknown' est_differs,
         abs(datediff('day', b.as_of, a.as_of)) gap,
