@@ -42,13 +42,17 @@ BUSINESS = {
 SUBJECTS = {"water": "wtr", "supply": "sup", "roads": "rds", "public": "pub", "health": "hlth", "census": "cens", "prices": "prc", "revenue": "rev", "credit": "cr", "rural": "rur", "fisheries": "fish fshrs", "statistics": "stats", "labour": "lab", "trade": "", "planning": ""}
 # Given names met in these tables with their short and foreign forms.
 GIVEN = {
-    "dorothy": "dolly dot dottie dorothea", "alexander": "alex sandy sasha aleksandr alec", "francisco": "pancho paco frank francesco cisco", "vijay": "bijoy wijay vijai veejay", "giuseppe": "beppe jino gino peppe", "robert": "bob robt rob bobby bert",
+    "dorothy": "dolly dot dottie dorothea", "alexander": "alex sandy sasha aleksandr alec", "francisco": "pancho paco frank francesco cisco", "vijay": "bijoy wijay vijai veejay", "giuseppe": "beppe jino gino peppe gius", "robert": "bob robt rob bobby bert",
     "jose": "pepe joe", "mohammed": "mohd muhammad mohamed md mohammad", "susanna": "sue susie suzanna susan", "venkatesh": "venky venkat venkatesan", "ekaterina": "yekaterina katya caterina", "elizabeth": "liz beth betty eliza lizzie elisabeth",
     "theodore": "theo ted teddy", "johannes": "hans hannes jan johann johan", "william": "will bill wm billy", "natalia": "nataliya natasha natalya nathalie", "katherine": "catherine kate kathy kathryn katharine kitty", "margaret": "meg peggy maggie marge",
     "chandrashekhar": "chandru chandra shekhar chandrasekhar", "lakshmi": "laxmi lakshmy", "richard": "dick rick", "james": "jim jimmy", "john": "jack johnny", "michael": "mike", "thomas": "tom",
 }
 
 
+# Words that stand together in a field or a subject.
+TOGETHER = [("mining", "metals"), ("power", "transmission"), ("textile", "mills"), ("development", "bank"), ("engineering", "works"), ("shipping", "ports"), ("international", "trading"), ("agro", "products"), ("water", "supply"), ("public", "health"), ("rural", "credit")]
+
+
 def _forms(table: dict[str, str]) -> dict[str, str]:
     return {form: word for word, forms in table.items() for form in (word, *forms.split())}
 
@@ -78,13 +82,39 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def _sound(word: str) -> str:
+    for written, heard in (("ee", "i"), ("oo", "u"), ("ph", "f"), ("y", "i")):
+        word = word.replace(written, heard)
+    return word
+
+
+def _partner(found: set[str], words: list[str], forms: dict[str, str], keep: int) -> None:
+    """Adds to ``found`` the other half of a pair such as "water supply" when a word is written nearly like it.
+
+    The first ``keep`` words set the name apart and are taken only when they are very nearly the lacking one.
+    """
+    for pair in TOGETHER:
+        for have, lack in (pair, pair[::-1]):
+            if have in found and lack not in found:
+                near = [(edits(w, form, 2), w) for w in words[keep:] for form, canon in forms.items() if canon == lack and len(w) > 2 and len(form) > 2]
+                best = min((x for x in near if x[0] <= (2 if len(x[1]) > 3 else 1)), default=None)
+                if best is None and keep and len(words[0]) > 4 and edits(words[0], lack, 2) <= (2 if len(words[0]) > 8 else 1):
+                    best = (1, words[0])
+                if best:
+                    found.add(lack)
+                    words.remove(best[1])
+
+
 @lru_cache(maxsize=100_000)
 def _known(word: str, which: str) -> str | None:
     """The listed word that ``word`` is a form or a misspelling of."""
     forms = {"legal": _LEGAL, "office": _OFFICE, "business": _BUSINESS, "subject": _SUBJECT, "given": _GIVEN}[which]
     if word in forms:
         return forms[word]
-    if len(word) < 4:
+    sounds = _sound(word)
+    if len(word) > 4 and (heard := next((canon for form, canon in forms.items() if len(form) > 4 and _sound(form) == sounds), None)):
+        return heard
+    if len(word) < 3 or len(word) < 4 and which != "given":
         return None
     for read, meant in (("cl", "d"), ("rn", "m"), ("vv", "w")):
         if read in word and (fixed := word.replace(read, meant)) in forms:
@@ -92,7 +122,7 @@ def _known(word: str, which: str) -> str | None:
     best, at = 3, None
     for form, canon in forms.items():
         n = min(len(form), len(word))
-        most = 2 if n >= 9 else 1 if n >= 5 or n == 4 and (form == canon and which == "business" or which == "given" and len(form) == 5) else 0
+        most = 2 if n >= 9 or n >= 7 and which == "given" else 1 if n >= 5 or n == 4 and (form == canon and which == "business" or which == "given" and len(form) == 5) or which == "given" and form == "jose" else 0
         if most and (d := edits(word, form, most)) <= most and d < best and (n > 5 or word[0] == form[0] or d == 1 and word[1:2] == form[1:2]):
             best, at = d, canon
     return at
@@ -106,6 +136,7 @@ def _words(name: str) -> tuple[list[str], bool]:
     text = re.sub(r"\(\s*[Pp]\s*\)", " private ", text)
     text = re.sub(r"(?<=[a-z]{2})(?=[A-Z][a-z])", " ", text)
     text = re.sub(r"\b((?:\w\.){2,})", lambda m: m[1].replace(".", "") + " " if len(m[1]) > 6 else m[1], text)
+    text = re.sub(r"(?<=\w\w)\.(?=\w{1,2}\b)", "", text)
     text = text.lower().replace("'", "").replace("’", "").replace("&", " and ")
     text = re.sub(r"(?<=[a-z])[015]|[015](?=[a-z])", lambda m: {"0": "o", "1": "l", "5": "s"}[m[0]], text)
     head, comma, tail = text.partition(",")
@@ -130,21 +161,37 @@ def profile(name: str) -> tuple[str, str, str, str] | None:
     if not words:
         return None
     kinds = [w for w in words if _known(w, "office")]
-    if kinds and any(_known(w, "subject") for w in words):
-        seen, place = set(), []
+    if kinds and (any(_known(w, "subject") for w in words) or any(w in OFFICES and w != "agency" for w in kinds) and len(words) > 2):
+        seen, place = {_known(w, "office") for w in kinds}, []
         for w in words:
-            part = _known(w, "office") if w in kinds else _known(w, "subject")
-            (seen.add(part) if part else place.append(w)) if w not in ("office", "govt", "government") else None
+            if w in kinds or w in ("office", "govt", "government"):
+                continue
+            part = _known(w, "subject")
+            (seen.add(part) if part else place.append(w))
+        _partner(seen, place, _SUBJECT, 0)
+        if not any(x in SUBJECTS for x in seen) and len(place) > 1:
+            near = {_SUBJECT[f]: w for w in place for f in _SUBJECT if len(w) > 3 and len(f) > 3 and edits(w, f, 1) <= 1}
+            if len(near) == 1:
+                part, w = next(iter(near.items()))
+                seen.add(part)
+                place.remove(w)
         return ("o|" + " ".join(sorted(seen)), "", "", "".join(place)) if place else None
     legal = [w for w in words if _known(w, "legal")]
     left = [w for w in words if not _known(w, "legal")]
-    fields, core = set(), []
-    for i, w in enumerate(left):
-        field = _known(w, "business")
-        if field and (w in _BUSINESS or i or len(w) > 6) and len(w) > 1:
-            fields.add(field)
-        else:
-            core.append(w)
+    given_here = not legal and any(w in _GIVEN for w in left)
+    exact = {w: _BUSINESS[w] for i, w in enumerate(left) if w in _BUSINESS and len(w) > 1 and (i or w not in ("dev", "min"))} if not given_here else {}
+    fields = set(exact.values())
+    core = [w for w in left if w not in exact]
+    _partner(fields, core, _BUSINESS, 1 if len(core) > 1 else 0)
+    if not fields and not given_here:
+        # No field is written out: take the words that are nearly one, but never the first.
+        close = {w: f for w in core[1:] if (f := _known(w, "business"))} or {w: f for w in core[:1] if len(core) > 1 and len(w) > 5 and (f := _known(w, "business"))}
+        if not close and legal and len(core) > 1 and len(core[-1]) > 2:
+            near = {c for f, c in _BUSINESS.items() if len(f) > 2 and edits(core[-1], f, 1) <= 1}
+            close = {core[-1]: next(iter(near))} if len(near) == 1 else {}
+        fields = set(close.values())
+        core = [w for w in core if w not in close]
+        _partner(fields, core, _BUSINESS, 1 if len(core) > 1 else 0)
     if legal or fields:
         if not core or all(len(w) < 2 for w in core) or core in (["our"], ["we"], ["this"], ["said"], ["issuer"]):
             return None
