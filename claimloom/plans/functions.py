@@ -321,3 +321,33 @@ SQL = {
         p as (select doc_id, page as batch, max(case when n > 0 then round_even(least(1.0::double, greatest(0.0::double, case when n < 60 then sc * 0.4::double else sc end)) * 10000, 0) / 10000 else 0.0 end) density from v group by 1, 2)
         select doc_id, batch, row_number() over (partition by doc_id order by density desc, batch) as rank from p qualify rank <= 2""",
 }
+
+_CODES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in units.CURRENCY_CODES.items()) + "}"
+SQL |= {
+    # Letters are doubled apart first, because this engine's patterns cannot look behind.
+    "detect_currency": rf"""with {_RAWS}, t as (select raw, ' ' || regexp_replace(lower(right(raw, 40)), '([^a-z])', '\1\1', 'g') || ' ' s from raws),
+        f as (select raw, regexp_extract_all(s, '(us\$|[₹$€£¥]|[^a-z](?:rs\.?|inr|usd|eur|gbp|jpy|aed|sgd|cny|rmb)[^a-z])', 1) h from t)
+        select raw, {_CODES}[case when regexp_matches(h[-1], '[a-z]') and not contains(h[-1], '$') then regexp_replace(regexp_replace(h[-1], '^[^a-z]', ''), '[^a-z]+$', '') else h[-1] end] as currency from f""",
+    "json_loose": "select doc_id, page, count(*)::int as n from evidence join (select distinct id from facts) f on fact_id = f.id group by 1, 2",
+    "block_kinds": rf"""with {_BLOCKS}, t as (select text, trim(text, ' ') s from blocks),
+        m as (select text, s, len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) w, length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) l, length(regexp_replace(s, '[^\p{{Lu}}]', '', 'g')) u,
+            list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') ls from t),
+        h as (select *, s <> '' and length(s) <= 120 and not regexp_matches(s, '[.;,]$') and w <= 14 and l > 0 and (u > l * 0.6 or regexp_matches(s, '^(?:[\dIVX]+[.)]?\s+)?\p{{Lu}}[^\s]*(?:\s+(?:\p{{Lu}}[^\s]*|of|the|and|in|for|to|on|a|an|with|by|&|-|\d[^\s]*))*$')) heading,
+            len(ls) >= 2 and (len(list_filter(ls, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3)) >= greatest(2.0, len(ls) * 0.5) or len(list_filter(ls, lambda x: regexp_matches(x, '\S\s{{2,}}\S'))) >= greatest(2.0, len(ls) * 0.6)) tabular from m)
+        select case when heading then 'heading' when tabular then 'table' else 'prose' end as kind, count(*) as n from h group by 1""",
+    "unit_stats": rf"""with {_BLOCKS}, s as (select *, length(trim(text, ' ')) n, length(regexp_replace(text, '[^0-9]', '', 'g')) d, len(regexp_extract_all(lower(text), '\b(?:{text.DENSE_WORDS})\b')) k from blocks),
+        v as (select *, 0.55::double * least(1.0::double, 6.0::double * d / n) + 0.45::double * least(1.0::double, k / 6.0::double) sc from s),
+        p as (select doc_id, page, max(case when n > 0 then round_even(least(1.0::double, greatest(0.0::double, case when n < 60 then sc * 0.4::double else sc end)) * 10000, 0) / 10000 else 0.0 end) density, (sum(length(text) + 1) - 1)::bigint chars from v group by 1, 2),
+        o as (select *, row_number() over (partition by doc_id order by page) i from p where density >= 0.12),
+        b as (with recursive walk as (
+            select doc_id, i, chars, density, chars as size, 1 as pages, 0 as batch from o where i = 1
+            union all
+            select o.doc_id, o.i, o.chars, o.density, case when w.size + o.chars > 16000 or w.pages >= 10 then o.chars else w.size + o.chars end, case when w.size + o.chars > 16000 or w.pages >= 10 then 1 else w.pages + 1 end,
+                case when w.size + o.chars > 16000 or w.pages >= 10 then w.batch + 1 else w.batch end from walk w join o on o.doc_id = w.doc_id and o.i = w.i + 1)
+            select doc_id, batch, sum(chars) chars, max(density) density from walk group by 1, 2)
+        select count(*) as n_units, sum(chars)::bigint as n_chars, round(avg(chars), 1) as mean_chars, round(avg(density), 3) as mean_density from b""",
+    "running_heading": rf"""with {_BLOCKS}, t as (select *, trim(text, ' ') s from blocks),
+        m as (select *, len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) w, length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) l, length(regexp_replace(s, '[^\p{{Lu}}]', '', 'g')) u from t),
+        h as (select *, case when s <> '' and length(s) <= 120 and not regexp_matches(s, '[.;,]$') and w <= 14 and l > 0 and (u > l * 0.6 or regexp_matches(s, '^(?:[\dIVX]+[.)]?\s+)?\p{{Lu}}[^\s]*(?:\s+(?:\p{{Lu}}[^\s]*|of|the|and|in|for|to|on|a|an|with|by|&|-|\d[^\s]*))*$')) then s end head from m)
+        select doc_id, page, idx::int as idx, coalesce(last_value(head ignore nulls) over (partition by doc_id, page order by idx rows between unbounded preceding and current row), '') as section from h""",
+}
