@@ -351,3 +351,25 @@ SQL |= {
         h as (select *, case when s <> '' and length(s) <= 120 and not regexp_matches(s, '[.;,]$') and w <= 14 and l > 0 and (u > l * 0.6 or regexp_matches(s, '^(?:[\dIVX]+[.)]?\s+)?\p{{Lu}}[^\s]*(?:\s+(?:\p{{Lu}}[^\s]*|of|the|and|in|for|to|on|a|an|with|by|&|-|\d[^\s]*))*$')) then s end head from m)
         select doc_id, page, idx::int as idx, coalesce(last_value(head ignore nulls) over (partition by doc_id, page order by idx rows between unbounded preceding and current row), '') as section from h""",
 }
+
+_MONTH_MAP = "map {" + ", ".join(f"'{k}': {v}" for k, v in periods._MONTHS.items()) + "}"
+_VOTES = " union all ".join(f"select doc_id, {_MONTH_MAP}[lower(unnest(regexp_extract_all(text, '{p}', 1)))] as m, {w}::double as w from documents where text is not null" for p, w in periods.FISCAL_HINTS)
+_PAGE_DENSITY = rf"""{_BLOCKS}, s as (select *, length(trim(text, ' ')) n, length(regexp_replace(text, '[^0-9]', '', 'g')) d, len(regexp_extract_all(lower(text), '\b(?:{text.DENSE_WORDS})\b')) k from blocks),
+        v as (select *, 0.55::double * least(1.0::double, 6.0::double * d / n) + 0.45::double * least(1.0::double, k / 6.0::double) sc from s),
+        p as (select doc_id, page, max(case when n > 0 then round_even(least(1.0::double, greatest(0.0::double, case when n < 60 then sc * 0.4::double else sc end)) * 10000, 0) / 10000 else 0.0 end) density, (sum(length(text) + 1) - 1)::bigint chars from v group by 1, 2)"""
+SQL |= {
+    "fy_end_vote": f"""with votes as ({_VOTES}), sums as (select doc_id, m, sum(w) s from votes group by 1, 2),
+        best as (select doc_id, list(struct_pack(s := s, n := -m) order by s desc, -m desc) t from sums group by 1)
+        select d.doc_id, case when t[1].s > 0 and t[1].s >= 1.25 * coalesce(t[2].s, 0) then -t[1].n end as month from documents d left join best using (doc_id)""",
+    "page_hints": rf"select doc_id, page, nullif(regexp_extract(text, '(?i)((?:us\$|[₹$€£¥]|\b(?:rs\.?|inr|usd|eur|gbp|jpy|aed|sgd|cny|rmb)\b)\s*(?:in\s+)?(?:{_SCALE_WORDS})\b)', 1), '') as hint from doc_pages",
+    "pack_batches": f"""with {_PAGE_DENSITY}, o as (select *, row_number() over (partition by doc_id order by page) i from p),
+        walk as (with recursive w as (
+            select doc_id, i, page, chars, density, chars as size, 1 as n, 0 as batch from o where i = 1
+            union all
+            select o.doc_id, o.i, o.page, o.chars, o.density, case when w.size + o.chars > 1500 or w.n >= 10 then o.chars else w.size + o.chars end, case when w.size + o.chars > 1500 or w.n >= 10 then 1 else w.n + 1 end,
+                case when w.size + o.chars > 1500 or w.n >= 10 then w.batch + 1 else w.batch end from w join o on o.doc_id = w.doc_id and o.i = w.i + 1) select * from w)
+        select w.doc_id, batch, string_agg(w.page::varchar, ',' order by w.page) as pages, sum(chars)::bigint as chars, max(density) as density,
+            case when count(distinct magnitude_hint) <= 1 and count(magnitude_hint) in (0, count(*)) then max(magnitude_hint) end as magnitude_hint,
+            case when count(distinct unit_hint) <= 1 and count(unit_hint) in (0, count(*)) then max(unit_hint) end as unit_hint
+        from walk w left join doc_pages d on w.doc_id = d.doc_id and w.page = d.page group by 1, 2""",
+}

@@ -303,6 +303,10 @@ SQL = {
     "relation_with_facts": f"with {_ONE_RELATION}, latest as (select * from facts qualify row_number() over (partition by id order by extracted_at desc) = 1) select r.id, a.doc_id as a_doc, b.doc_id as b_doc, a.measure_raw as a_measure, b.measure_raw as b_measure from one r left join latest a on r.a_id = a.id left join latest b on r.b_id = b.id",
     "relations_cross_doc": "select id, type, confidence from relations where cross_document and type in ('contradicts', 'reconciled')",
     "relation_counts": "select type, count(*) as n from relations group by 1",
+    "show_relations": f"""with {_ONE_RELATION}, latest as (select * from facts qualify row_number() over (partition by id order by extracted_at desc) = 1),
+        top as (select * from one order by {_RANK}, confidence desc, id limit 20)
+        select upper(type) || ' / ' || reason_code as verdict, left(regexp_replace(concat_ws(' | ', a.entity, a.measure_raw, coalesce(a.quantity.raw, a.value_text)), '\\s+', ' ', 'g'), 200) as fact_a,
+            left(regexp_replace(concat_ws(' | ', b.entity, b.measure_raw, coalesce(b.quantity.raw, b.value_text)), '\\s+', ' ', 'g'), 200) as fact_b from top left join latest a on a_id = a.id left join latest b on b_id = b.id""",
     "layer_stats": "select (select count(*) from documents) as documents, (select count(*) from facts) as facts, (select count(*) from relations) as relations, (select count(*) from evidence) as evidence",
     "measures_listing": "with forms as (select measure_key, measure_raw, count(*) n from facts where measure_key is not null group by all) select measure_key as key, arg_min(measure_raw, (-n, measure_raw)) as label, sum(n)::bigint as support, count(*) as forms from forms group by 1",
     "documents_list": "select doc_id, title, source, published, n_pages from documents",
