@@ -27,7 +27,7 @@ LEADING = _listed(
 )
 # Those that may close a sentence as well as stand inside one.
 TRAILING = _listed(
-    "etc inc ltd co corp bros pvt plc llp llc cr mio mrd usw a.m p.m u.s u.k h hrs min sec кв тыс руб млн млрд д т.д т.п "
+    "etc inc ltd co corp bros pvt plc llp llc cr mio mrd tsd usw a.m p.m u.s u.k h hrs min sec кв тыс руб млн млрд трлн д т.д т.п "
     "jan feb mar apr jun jul aug sep sept oct nov dec cont ibid al g.m.b.h s.a b.v n.v pty jr kg km"
 )
 # Those inside names of organisations, where another part of the name follows.
@@ -35,6 +35,9 @@ NAME_PARTS = frozenset(
     "stl chem chems pharm pharma fds cmt mfg engg engr intl infra telecom tel ins fin ind inds ltg log agro ren rly rlys "
     "const trans elec prod prods mktg tech svcs natl assn bldg".split()
 )
+# Scales, and the currencies that follow them.
+SCALES = _listed("mio mrd tsd cr тыс млн млрд трлн mn bn")
+CURRENCIES = _listed("eur euro euros usd gbp inr rub руб рублей")
 # What follows such an abbreviation when the name goes on.
 NAME_ENDS = frozenset("company private limited incorporated corporation gmbh holdings pvt ltd co inc corp plc llp and &".split())
 MONTHS = _listed(
@@ -59,6 +62,7 @@ _THAI = re.compile("[\u0e01-\u0e4e]")
 _MARK = re.compile("[" + re.escape("".join(sorted(QUOTES | BRACKETS | set(OPEN_OF))) + '"') + "]")
 _LONE = re.compile(f"(?<!\\S)[{UNSEEN}]+(?!\\S)")
 _TOKEN = re.compile(r"[^\s(\[（“„«「‘\"]+$")
+_GLUED = re.compile(r"^.*[^\W\d_]{3}[.!?](?=[^\W\d_]+$)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _HIDDEN = re.compile(f"[{UNSEEN}]")
 _PLAIN_END = re.compile(f"[{re.escape(TERMINALS)}:;,][{re.escape(CLOSERS)}\\s]*$")
@@ -143,6 +147,8 @@ def _closing(s: str, m: re.Match, follows: str, glued: bool) -> float:
         if first.islower() and closers:
             return NEVER
         return 4.0 if not glued or first.isupper() or ord(first or "a") > 0x300 else NEVER
+    if glued and first.isdigit():
+        return NEVER
     if glued and not (first.isupper() or first in "“„«" or "ऀ" <= first <= "෿"):
         return NEVER
     if first.islower() and (closers or len(ends) > 1 or ends == "…"):
@@ -153,7 +159,8 @@ def _closing(s: str, m: re.Match, follows: str, glued: bool) -> float:
     token = _TOKEN.search(s, max(0, m.start() - 40), m.start())
     if token is None:
         return 3.0 if closers or m.start() and s[m.start() - 1] in CLOSERS else NEVER
-    word = _plain(token[0])
+    # A sentence that begins right after a mark shares its token with the one before.
+    word = _plain(_GLUED.sub("", token[0]))
     upper = first.isupper() or first in "“„«‘¿¡\"" or not (first.islower() or first.isdigit()) and first.isalpha()
     number = first.isdigit() or first in "₹$€£¥₽−"
     nxt = _WORD.match(follows)
@@ -176,7 +183,7 @@ def _closing(s: str, m: re.Match, follows: str, glued: bool) -> float:
     if word in NAME_PARTS:
         return NEVER if after in NAME_ENDS or first.islower() else 0.2 if after in OPENERS else -2.5
     if word in TRAILING or "." in word and len(letters) < 6:
-        if first.islower() or number and word in MONTHS or after in NAME_ENDS and word not in ("etc", "cr"):
+        if first.islower() or word in SCALES and (first in "€$£₽₹¥" or after in CURRENCIES) or number and word in MONTHS or after in NAME_ENDS and word not in ("etc", "cr"):
             return NEVER
         if "." in word and len(letters) < 3 and word not in TRAILING:
             return 0.5 if after in OPENERS else NEVER

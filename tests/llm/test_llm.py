@@ -145,6 +145,8 @@ SENTENCES = [
     ("การตรวจสอบที่Abuใช้เวลา5วัน สินเชื่อไม่เปลี่ยนแปลง", ["การตรวจสอบที่Abuใช้เวลา5วัน", "สินเชื่อไม่เปลี่ยนแปลง"]),
     ("В 2013 г. вклады выросли. См. рис. 6 на с. 761.", ["В 2013 г. вклады выросли.", "См. рис. 6 на с. 761."]),
     ("A line\nbreak inside. Split by district.Orders came.", ["A line\nbreak inside.", "Split by district.", "Orders came."]),
+    ("लाभ २३.५ थी (अवधि)? दर क्यों गिरी?", ["लाभ २३.५ थी (अवधि)?", "दर क्यों गिरी?"]),
+    ("The rain stopped.Prof. R. V. Hiwo left. Er zahlte 850 Tsd. € sofort.", ["The rain stopped.", "Prof. R. V. Hiwo left.", "Er zahlte 850 Tsd. € sofort."]),
     ("a block without any mark at all", ["a block without any mark at all"]),
 ]
 
