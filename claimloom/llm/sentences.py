@@ -23,11 +23,11 @@ LEADING = _listed(
     "mr m/s mrs ms dr prof st shri smt sri messrs hon capt col gen rev fr sr sra srta m mme mlle mm hr frl fa "
     "no nos nr fig figs p pp vol ch sec art arts abb tab s núm num pág págs рис с стр табл ст см г гл п "
     "ca rd approx aprox est bzw vorl vgl cf vs e.g i.e z.b d.h u.a p.ex т.е т.к डॉ श्री श्रीमती पृ रु rs "
-    "eg ie ex viz inst dept deptt govt min dir ref para cl reg"
+    "eg ie ex viz inst dept deptt govt min dir ref para cl reg sq cu кв"
 )
 # Those that may close a sentence as well as stand inside one.
 TRAILING = _listed(
-    "etc inc ltd co corp bros pvt plc llp llc cr mio mrd tsd usw a.m p.m u.s u.k h hrs min sec кв тыс руб млн млрд трлн д т.д т.п "
+    "etc inc ltd co corp bros pvt plc llp llc cr mio mrd tsd usw a.m p.m u.s u.k h hrs min sec тыс руб млн млрд трлн д т.д т.п "
     "jan feb mar apr jun jul aug sep sept oct nov dec cont ibid al g.m.b.h s.a b.v n.v pty jr kg km"
 )
 # Those inside names of organisations, where another part of the name follows.
@@ -161,6 +161,10 @@ def _closing(s: str, m: re.Match, follows: str, glued: bool) -> float:
         return 3.0 if closers or m.start() and s[m.start() - 1] in CLOSERS else NEVER
     # A sentence that begins right after a mark shares its token with the one before.
     word = _plain(_GLUED.sub("", token[0]))
+    if word[:1].isdigit() and not word[-1:].isdigit():
+        # A unit written right after its figure.
+        word = word.lstrip("0123456789.,") or word
+    initial = len(word) == 1 and token[0][-1:].isupper()
     upper = first.isupper() or first in "“„«‘¿¡\"" or not (first.islower() or first.isdigit()) and first.isalpha()
     number = first.isdigit() or first in "₹$€£¥₽−"
     nxt = _WORD.match(follows)
@@ -176,13 +180,18 @@ def _closing(s: str, m: re.Match, follows: str, glued: bool) -> float:
             return 1.0 if re.search(r"(?i)\b(?:fig|tab|abb|p|pp|s|vol|ch|no|nr|annex|table|note)\.? *\d*$", s[max(0, m.start() - 12) : m.start()]) else NEVER
         return 4.0 if not first.islower() else 2.0
     letters = word.replace(".", "")
-    if word in LEADING:
+    if word in ("m", "t", "g", "h", "м", "т") and not initial and re.search(r"(?:\b(?:sq|cu|кв)\.|\d)\s*\w$", s[max(0, m.start() - 8) : m.start()]):
+        # A unit after a figure ends a sentence before a capital.
+        return 3.0 if upper else NEVER
+    if word in MONTHS and number:
+        return NEVER
+    if word in LEADING and not initial:
         if word == one_look("г") and upper and re.search(r"\d\s*г$", s[max(0, m.start() - 7) : m.start()]):
             return 2.0
         return 0.6 if word in ("no", "s", "p", "art", "min", "par") and upper and len(nxt[0] if nxt else "") > 1 and after in OPENERS else NEVER
     if word in NAME_PARTS:
         return NEVER if after in NAME_ENDS or first.islower() else 0.2 if after in OPENERS else -2.5
-    if word in TRAILING or "." in word and len(letters) < 6:
+    if word in TRAILING and not initial or "." in word and len(letters) < 6:
         if first.islower() or word in SCALES and (first in "€$£₽₹¥" or after in CURRENCIES) or number and word in MONTHS or after in NAME_ENDS and word not in ("etc", "cr"):
             return NEVER
         if "." in word and len(letters) < 3 and word not in TRAILING:

@@ -147,6 +147,8 @@ SENTENCES = [
     ("A line\nbreak inside. Split by district.Orders came.", ["A line\nbreak inside.", "Split by district.", "Orders came."]),
     ("लाभ २३.५ थी (अवधि)? दर क्यों गिरी?", ["लाभ २३.५ थी (अवधि)?", "दर क्यों गिरी?"]),
     ("The rain stopped.Prof. R. V. Hiwo left. Er zahlte 850 Tsd. € sofort.", ["The rain stopped.", "Prof. R. V. Hiwo left.", "Er zahlte 850 Tsd. € sofort."]),
+    ("Area was over 113 sq. m. Ticket sales rose by 5 sq. m (FY20) in all.", ["Area was over 113 sq. m.", "Ticket sales rose by 5 sq. m (FY20) in all."]),
+    ("For May. 2022: T H. Tuho paid Rs 8,490Cr. in Q1. It ended in May. So be it.", ["For May. 2022: T H. Tuho paid Rs 8,490Cr. in Q1.", "It ended in May.", "So be it."]),
     ("a block without any mark at all", ["a block without any mark at all"]),
 ]
 
