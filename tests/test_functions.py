@@ -108,3 +108,18 @@ def test_text(spark):
     assert [r.k for r in got] == ["heading", "prose", "table"]
     assert all(0 <= r.d <= 1 for r in got)
     assert values(spark, [("12 of 1, 200", "12"), ("none", "7"), ("x", "no digits")], "q string, r string", c=text.contains_value(F.col("q"), F.col("r")))[1].c is False
+
+
+def test_dates_titles_and_short_forms(spark):
+    d = dt.date
+    rows = [("Mumbai, 12 March 2021. Revised April 30, 2022.", d(2000, 1, 1)), ("no date", d(2000, 1, 1)), ("", None)]
+    got = values(spark, rows, "t string, m date", p=text.published_date(F.col("t"), F.col("m")))
+    assert [r.p for r in got] == [d(2022, 4, 28), d(2000, 1, 1), None]
+    got = values(spark, [("D:20240331120000", "2024-03-31x"), ("x", "2024-03"), (None, "2024")], "a string, b string", a=text.pdf_date(F.col("a")), b=text.iso_date(F.col("b")))
+    assert [(r.a, r.b) for r in got] == [(d(2024, 3, 31), d(2024, 3, 31)), (None, d(2024, 3, 1)), (None, d(2024, 1, 1))]
+    got = values(spark, [("untitled", "Annual Report 2024", "x", "a.pdf"), (None, None, "1\nThe first real line", "a.pdf"), (None, None, "", "a.pdf")], "m string, l string, p string, f string", t=text.guess_title(F.col("m"), F.col("l"), F.col("p"), F.col("f")))
+    assert [r.t for r in got] == ["Annual Report 2024", "The first real line", "a.pdf"]
+    got = values(spark, [(1234567.0,), (-2.5e12,), (0.0,), (999.0,), (None,)], "v double", s=numbers.format_compact(F.col("v")))
+    assert [r.s for r in got] == ["1.235M", "-2.5T", "0", "999", None]
+    got = values(spark, [("all figures in ₹ in Million",), ("plain",)], "t string", h=units.page_unit_hint(F.col("t")))
+    assert [r.h for r in got] == ["₹ in Million", None]
