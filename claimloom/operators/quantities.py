@@ -93,6 +93,17 @@ def _printed(value: pd.Series, scale: pd.Series, magnitude: pd.Series, label: pd
     return pd.Series(out, dtype=object)
 
 
+def _exact(df: DataFrame) -> DataFrame:
+    """Adds what ``convert`` gives before it is printed: ``unit``, ``multiplier`` and ``canonical_value`` by the label."""
+    parts = F.split("label", r"\|")
+    carried = F.when(parts[0].isin(*sorted(_SCALED)) & (F.col("magnitude") > 0) & ~F.isnan("magnitude"), F.col("magnitude"))
+    scale = F.coalesce(F.when(~F.isnan("scale") & (F.col("scale") != 0), F.col("scale")), carried, F.lit(1.0))
+    scaled, factor = F.col("figure") * scale, parts[2].cast("double")
+    value = F.when(parts[1] == "fahrenheit", (scaled - 32) * 5 / 9).when(parts[1] == "kelvin", scaled - 273.15).otherwise(scaled * factor)
+    step = F.when(parts[1] == "fahrenheit", scale * 5 / 9).otherwise(scale * factor)
+    return df.withColumns({"unit": parts[1], "multiplier": step, "canonical_value": value})
+
+
 def features(df: DataFrame) -> DataFrame:
     """Columns the classifier sees: size of the figure, its form, and the neighbouring fields."""
     text = lambda c: F.coalesce(c, F.lit("none"))
@@ -168,7 +179,8 @@ def read_facts(facts: DataFrame, documents: DataFrame, sources: DataFrame) -> Da
 
 
 def settled(facts: DataFrame, documents: DataFrame, sources: DataFrame, confident: float = CONFIDENT, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """Two tables: quantities in common units (``id, kind, canonical_unit, canonical_sci``), and those for review.
+    """Two tables: quantities in common units (``id, kind, canonical_unit, canonical_sci`` and, not
+    rounded, ``canonical_value`` with the ``unit`` and ``multiplier`` of its figure), and those for review.
 
     Stated units are converted. Where no text states a unit, the forest names it from the figure's size, its source,
     its measure and the other fields; predictions of at least ``confident`` calibrated probability are converted, the
@@ -181,14 +193,15 @@ def settled(facts: DataFrame, documents: DataFrame, sources: DataFrame, confiden
     read, _ = materialise(read_facts(facts, documents, sources), "quantities")
     stated = read.where("kind is not null")
     missing = read.where("kind is null").drop("label")
-    done = stated.selectExpr("id", "kind", "unit as canonical_unit", "sci as canonical_sci")
+    exact = ("canonical_value", "unit", "multiplier")
+    done = _exact(stated.withColumnRenamed("unit", "canonical_unit")).select("id", "kind", "canonical_unit", F.col("sci").alias("canonical_sci"), *exact)
     fitted = train(stated, sample)
     if fitted is None:
         return done, missing.selectExpr("id", "cast(null as string) as label", "cast(null as double) as probability")
     guessed, _ = materialise(predict(missing, fitted).select("id", "figure", "scale", "magnitude", "label", "probability"), "guessed")
     sure = guessed.where(F.col("probability") >= confident)
     parts = F.split("label", r"\|")
-    added = sure.select("id", parts[0].alias("kind"), F.when(parts[0] == "temperature", "celsius").otherwise(parts[1]).alias("canonical_unit"), _printed("figure", "scale", "magnitude", "label").alias("canonical_sci"))
+    added = _exact(sure).select("id", parts[0].alias("kind"), F.when(parts[0] == "temperature", "celsius").otherwise(parts[1]).alias("canonical_unit"), _printed("figure", "scale", "magnitude", "label").alias("canonical_sci"), *exact)
     return done.unionByName(added), guessed.where(F.col("probability") < confident).select("id", "label", "probability")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import adjudicate as adj
-from ..operators import linking, registry, store, views
+from ..operators import linking, readings, registry, store, views
 from ..session import table
 
 
@@ -22,7 +22,9 @@ def _day(text: str) -> Column:
 
 
 def facts_of(facts: DataFrame) -> DataFrame:
-    """The facts table in the shape the linker takes: windows are those given as plain ISO days, values as received."""
+    """The facts table in the shape the linker takes: windows are those given as plain ISO days, values as received.
+
+    This is what the SQL states; ``readings.read_facts_of`` gives the windows and values of every notation."""
     q = F.col("quantity")
     approx = F.lower(q["raw"]).rlike(r"(about|approx|nearly|over|~)")
     quantity = F.when(q.isNotNull(), F.struct(q["raw"].alias("raw"), q["value"].alias("value"), q["unit"].alias("unit"), q["magnitude"].alias("magnitude"), q["kind"].alias("kind"), F.col("canonical_value"), F.col("canonical_unit"), F.coalesce(approx, F.lit(False)).alias("approximate")))
@@ -139,6 +141,29 @@ def adjudicate_state(spark, sf_dir):
     return linking.link(facts).select("a_id", "b_id", "type", "reason_code", "confidence")
 
 
+def _read(spark, sf_dir):
+    return readings.read_facts_of(*(table(spark, sf_dir, n) for n in ("facts", "documents", "sources")))
+
+
+def relations_by_type_read(spark, sf_dir):
+    """As ``relations_by_type``, over windows and values in every notation the project reads; SQL cannot follow."""
+    return linking.link(_read(spark, sf_dir)).groupBy("type", "reason_code").agg(F.count("*").alias("n"))
+
+
+def adjudicate_pairs_read(spark, sf_dir):
+    return linking.link(_read(spark, sf_dir)).select("id", "a_id", "b_id", "type", "reason_code", "confidence", "cross_document")
+
+
+def compare_values_read(spark, sf_dir):
+    v = adj.compare_values(F.col("a.quantity"), F.col("b.quantity"))
+    return linking.candidate_pairs(_read(spark, sf_dir)).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), v.alias("v")).where("v.comparable").select("a_id", "b_id", "v.delta", "v.tolerance", "v.agree", "v.exact", "v.converted")
+
+
+def compare_periods_read(spark, sf_dir):
+    p = adj.compare_periods(F.col("a.period"), F.col("b.period"))
+    return linking.candidate_pairs(_read(spark, sf_dir)).groupBy(p["status"].alias("status"), p["overlaps"].alias("overlaps")).agg(F.count("*").alias("n"))
+
+
 def link_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
@@ -266,7 +291,7 @@ def insert_new_facts(spark, sf_dir):
 
 
 _NAMES = (
-    relations_by_type, adjudicate_pairs, adjudicate_state, link_pairs, link_cap, link_cross_doc, link_incremental, link_anti_existing, link_report, compare_values, compare_periods, compare_basis, compare_vintage, text_overlap, blocks_having, facts_search,
+    relations_by_type, adjudicate_pairs, adjudicate_state, relations_by_type_read, adjudicate_pairs_read, compare_values_read, compare_periods_read, link_pairs, link_cap, link_cross_doc, link_incremental, link_anti_existing, link_report, compare_values, compare_periods, compare_basis, compare_vintage, text_overlap, blocks_having, facts_search,
     list_facts, relations_ranked, relation_with_facts, relations_cross_doc, relation_counts, show_relations, layer_stats, measures_listing, documents_list, fact_dedupe, upsert_documents, delete_cascade, insert_new_facts,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
