@@ -18,12 +18,20 @@ def blocks(facts: DataFrame, min_size: int = 2) -> DataFrame:
     return facts.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
 
 
-def capped(facts: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+def oversized(facts: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+    """Blocks that the cap cuts: keys, ``n`` and the facts ``beyond`` the cap, which get no pair; the largest first."""
+    sizes = blocks(facts.where("measure_key is not null and entity_key is not null"), max_block + 1)
+    return sizes.withColumn("beyond", F.col("n") - max_block).orderBy(F.desc("n"), *KEYS)
+
+
+def capped(facts: DataFrame, max_block: int | None = MAX_BLOCK) -> DataFrame:
     """Facts ranked in their block by falling confidence (ties by id), and only the first ``max_block`` of each.
 
     The cap is a feature of the linker: it keeps the most trusted facts of a block. The rank is limited on the map side
-    too, so a block of a third of all rows never gathers in one task.
+    too, so a block of a third of all rows never gathers in one task. None keeps every fact, unranked.
     """
+    if max_block is None:
+        return facts.where("measure_key is not null and entity_key is not null")
     rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("confidence").desc_nulls_last(), F.col("id")))
     return facts.where("measure_key is not null and entity_key is not null").withColumn("rank", rank).where(F.col("rank") <= max_block)
 
@@ -32,16 +40,25 @@ def _sided(facts: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
     return facts.select(*KEYS, F.struct(*fields).alias(name))
 
 
-def candidate_pairs(facts: DataFrame, new_doc: int | None = None, cross_document_only: bool = False, max_block: int = MAX_BLOCK, fields: tuple[str, ...] = FACT_FIELDS) -> DataFrame:
+def candidate_pairs(facts: DataFrame, new_doc: int | None = None, cross_document_only: bool = False, max_block: int | None = MAX_BLOCK, fields: tuple[str, ...] = FACT_FIELDS) -> DataFrame:
     """All pairs ``a.id < b.id`` inside capped blocks, as two structs.
 
     With ``new_doc`` only blocks that the document touches are read further (a semi join on the keys comes first), and
-    pairs must touch it. Null keys block nothing; a repeated id is not paired with itself.
+    pairs must touch it. Null keys block nothing; a repeated id is not paired with itself. ``max_block`` None pairs
+    whole blocks: with ``new_doc`` its facts are then set against all others, else pairs grow with the square of a block.
     """
     if new_doc is not None:
         touched = facts.where(F.col("doc_id") == new_doc).select(*KEYS).distinct()
         facts = facts.join(touched, KEYS, "left_semi")
     kept = capped(facts, max_block)
+    if max_block is None and new_doc is not None:
+        # Only the new document's facts look for partners; each pair inside it comes once.
+        other = _sided(kept, "y", fields)
+        met = _sided(kept.where(F.col("doc_id") == new_doc), "x", fields).join(other, KEYS).where(F.col("x.id") != F.col("y.id"))
+        met = met.where(~F.col("y.doc_id").eqNullSafe(F.lit(new_doc)) | F.expr("x.id < y.id"))
+        first = F.col("x.id") < F.col("y.id")
+        pairs = met.select(*KEYS, F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
+        return pairs.where("a.doc_id <> b.doc_id") if cross_document_only else pairs
     pairs = _sided(kept, "a", fields).join(_sided(kept, "b", fields), KEYS).where("a.id < b.id")
     if new_doc is not None:
         pairs = pairs.where((F.col("a.doc_id") == new_doc) | (F.col("b.doc_id") == new_doc))

@@ -172,6 +172,15 @@ def link_cap(spark, sf_dir):
     return linking.capped(_facts(spark, sf_dir), 20).select("id", "measure_key", "entity_key", F.col("rank").cast("bigint").alias("rank"))
 
 
+def link_pairs_uncut(spark, sf_dir):
+    """Pairs of whole blocks, without the linker's cap."""
+    return _pairs(spark, sf_dir, max_block=None).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+
+
+def link_oversized(spark, sf_dir):
+    return linking.oversized(_facts(spark, sf_dir))
+
+
 def link_cross_doc(spark, sf_dir):
     return _pairs(spark, sf_dir, cross_document_only=True).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
@@ -291,7 +300,7 @@ def insert_new_facts(spark, sf_dir):
 
 
 _NAMES = (
-    relations_by_type, adjudicate_pairs, adjudicate_state, relations_by_type_read, adjudicate_pairs_read, compare_values_read, compare_periods_read, link_pairs, link_cap, link_cross_doc, link_incremental, link_anti_existing, link_report, compare_values, compare_periods, compare_basis, compare_vintage, text_overlap, blocks_having, facts_search,
+    relations_by_type, adjudicate_pairs, adjudicate_state, relations_by_type_read, adjudicate_pairs_read, compare_values_read, compare_periods_read, link_pairs, link_pairs_uncut, link_oversized, link_cap, link_cross_doc, link_incremental, link_anti_existing, link_report, compare_values, compare_periods, compare_basis, compare_vintage, text_overlap, blocks_having, facts_search,
     list_facts, relations_ranked, relation_with_facts, relations_cross_doc, relation_counts, show_relations, layer_stats, measures_listing, documents_list, fact_dedupe, upsert_documents, delete_cascade, insert_new_facts,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
