@@ -17,8 +17,11 @@ from ..session import materialise
 from .components import hash_to_min
 from .lookalikes import one_look
 
-#: Radius of the exact join on the distinctive part of a name, in edits (insert, delete, replace: a true metric).
+#: Least radius of the exact join on the distinctive part of a name, in edits (insert, delete, replace: a true metric).
 RADIUS = 2
+#: Lengths of the shorter string from which the join must reach further, so that every pair ``verdict`` can take is met:
+#: it takes ``_most`` edits with a swap as one, and a swap is two edits of the metric.
+REACH = ((14, 6), (7, 4))
 #: Heads a cell should hold, and the most pivots a class of names may have.
 CELL = 100
 MAX_PIVOTS = 256
@@ -212,7 +215,7 @@ def profile(name: str) -> tuple[str, str, str, str] | None:
 
 
 def heads(p: tuple[str, str, str, str]) -> list[str]:
-    """The distinctive strings of a profile, at most four; related profiles have two within ``RADIUS``."""
+    """The distinctive strings of a profile, at most four; related profiles have two within ``RADIUS``, or ``REACH`` for long ones."""
     cls, first, second, last = p
     if cls[0] != "c":
         return [last]
@@ -295,9 +298,12 @@ def _verdict_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([verdict(tuple(x.split(_SEP)), tuple(y.split(_SEP))) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def radius_join(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+def radius_join(points: DataFrame, radius: int = RADIUS, reach: tuple[tuple[int, int], ...] = ()) -> DataFrame:
     """All pairs ``(cls, x, y)``, ``x < y``, of distinct strings of one class within ``radius`` edits. Exact.
 
+    ``reach`` gives a larger radius, as ``(least length, radius)`` from the longest on, to pairs whose shorter string
+    has that length; no string's radius is below that of its pairs, so the bounds below hold for each string's own.
+
     Each class gets pivots in proportion to its size. A string belongs to the cell of its nearest pivot and is copied
     into every cell whose pivot is at most ``2 * radius`` further away, which by the triangle inequality are all cells
     where a partner can live. Inside a cell the distances to the pivot must differ by ``radius`` at most, again by
@@ -306,6 +312,8 @@ def radius_join(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     distinct = points.select("cls", "head").distinct()
     sizes = distinct.groupBy("cls").agg(F.count("*").alias("n"))
+    by = lambda n, of: "case " + " ".join(f"when {n} >= {least} then {of(r)}" for least, r in reach) + f" else {of(radius)} end" if reach else of(radius)
+    own, both = by("length(head)", str), by("least(length(x), length(y))", str)
     share = f"if(n div {CELL} <= {MAX_PIVOTS}, cast({CELL} as bigint), n div {MAX_PIVOTS} + 1)"
     pivots, _ = materialise(
         distinct.join(sizes, "cls").groupBy("cls").agg(F.expr(f"sort_array(collect_list(if(pmod(xxhash64(head), {share}) = 0, head, null)))").alias("p"), F.min("head").alias("least")).selectExpr("cls", "if(size(p) = 0, array(least), p) as pivots"),
@@ -320,8 +328,8 @@ def radius_join(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     cells, _ = materialise(measured, "cells")
     home = cells.selectExpr("cls", "home as cell", "head as y", "element_at(d, home) as dy")
-    copies = cells.selectExpr("cls", "head as x", f"explode(filter(transform(d, (v, i) -> struct(i + 1 as cell, v as dx)), s -> s.dx <= array_min(d) + {2 * radius})) as s").selectExpr("cls", "x", "s.cell as cell", "s.dx as dx")
-    met = home.join(copies, ["cls", "cell"]).where(f"abs(dx - dy) <= {radius} and x <> y and abs(length(x) - length(y)) <= {radius}").where(f"levenshtein(x, y, {radius}) >= 0")
+    copies = cells.selectExpr("cls", "head as x", f"explode(filter(transform(d, (v, i) -> struct(i + 1 as cell, v as dx)), s -> s.dx <= array_min(d) + 2 * ({own}))) as s").selectExpr("cls", "x", "s.cell as cell", "s.dx as dx")
+    met = home.join(copies, ["cls", "cell"]).where(f"abs(dx - dy) <= {both} and x <> y and abs(length(x) - length(y)) <= {both}").where(by("least(length(x), length(y))", lambda r: f"levenshtein(x, y, {r}) >= 0"))
     return met.selectExpr("cls", "least(x, y) as x", "greatest(x, y) as y").distinct()
 
 
@@ -340,7 +348,7 @@ def spelling_groups(names: DataFrame, column: str = "entity") -> DataFrame:
     parsed, _ = materialise(spellings.mapInPandas(_parse, _PARSED), "names")
     profiles = parsed.groupBy("cls", "key", "level").agg(F.first("heads").alias("heads"))
     by_head = profiles.select("cls", "key", "level", F.explode("heads").alias("head"))
-    near = radius_join(by_head)
+    near = radius_join(by_head, reach=REACH)
     left, right = by_head.selectExpr("cls", "head as x", "key as k1"), by_head.selectExpr("cls", "head as y", "key as k2")
     alike = left.join(near, ["cls", "x"]).join(right, ["cls", "y"]).select("k1", "k2")
     same_head = left.join(right.withColumnRenamed("y", "x"), ["cls", "x"]).where("k1 < k2").select("k1", "k2")
