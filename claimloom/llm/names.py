@@ -43,12 +43,14 @@ BUSINESS = {
     "products": "prod prods", "renewables": "renew renewable ren", "infrastructure": "infra infrastr infrast", "pharmaceuticals": "pharm pharma pharmas", "insurance": "ins insur", "energy": "enrg",
 }
 SUBJECTS = {"water": "wtr", "supply": "sup", "roads": "rds", "public": "pub", "health": "hlth", "census": "cens", "prices": "prc", "revenue": "rev", "credit": "cr", "rural": "rur", "fisheries": "fish fshrs", "statistics": "stats", "labour": "lab", "trade": "", "planning": ""}
-# Given names met in these tables with their short and foreign forms.
+# Given names with their short and foreign forms. A list is never whole: other given names get no short forms.
 GIVEN = {
     "dorothy": "dolly dot dottie dorothea", "alexander": "alex sandy sasha aleksandr alec", "francisco": "pancho paco frank francesco cisco", "vijay": "bijoy wijay vijai veejay", "giuseppe": "beppe jino gino peppe gius", "robert": "bob robt rob bobby bert",
     "jose": "pepe joe", "mohammed": "mohd muhammad mohamed md mohammad", "susanna": "sue susie suzanna susan", "venkatesh": "venky venkat venkatesan", "ekaterina": "yekaterina katya caterina", "elizabeth": "liz beth betty eliza lizzie elisabeth",
     "theodore": "theo ted teddy", "johannes": "hans hannes jan johann johan", "william": "will bill wm billy", "natalia": "nataliya natasha natalya nathalie", "katherine": "catherine kate kathy kathryn katharine kitty", "margaret": "meg peggy maggie marge",
     "chandrashekhar": "chandru chandra shekhar chandrasekhar", "lakshmi": "laxmi lakshmy", "richard": "dick rick", "james": "jim jimmy", "john": "jack johnny", "michael": "mike", "thomas": "tom",
+    "anthony": "tony antony", "andrew": "andy", "charles": "charlie chuck", "daniel": "danny", "frederick": "fred freddie", "gregory": "greg", "jennifer": "jenny", "joseph": "joey", "kenneth": "kenny", "lawrence": "larry laurence",
+    "matthew": "matt", "nicholas": "nick nicolas", "patricia": "patty", "peter": "pete pyotr", "philip": "phil phillip", "rebecca": "becky", "samuel": "sammy", "stephen": "steve steven", "victoria": "vicky", "dmitri": "dmitry dima", "sergei": "sergey",
 }
 
 
@@ -217,6 +219,9 @@ def profile(name: str) -> tuple[str, str, str, str] | None:
 def heads(p: tuple[str, str, str, str]) -> list[str]:
     """The distinctive strings of a profile, at most four; related profiles have two within ``RADIUS``, or ``REACH`` for long ones."""
     cls, first, second, last = p
+    if cls == "p" and len(first) > 1 and first not in GIVEN:
+        # Which outer word is the family name is not known: either may be the other's.
+        return sorted({first, last})
     if cls[0] != "c":
         return [last]
     found = {w for w in (first, second) if len(w) > 1} | {first + second + last}
@@ -268,6 +273,20 @@ def verdict(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> int:
         straight = _covers(whole[1], part[1]) and (not part[2] or _covers(whole[2], part[2])) and (len(part[1]) > 1 or len(part[2]) > 1)
         swapped = bool(part[2]) and _covers(whole[2], part[1]) and _covers(whole[1], part[2]) and (len(part[1]) > 1 or len(part[2]) > 1)
         return 2 if straight or swapped else 0
+    straight = _person(a, b, la, lb)
+    if straight or la != lb or la == 2 or not (a[1] and b[1]) or a[1] in GIVEN or b[1] in GIVEN:
+        return straight
+    # Without a listed given name either may have its family name first.
+    return _person(a, _turned(b), la, lb) or _person(_turned(a), b, la, lb)
+
+
+def _turned(p: tuple[str, str, str, str]) -> tuple[str, str, str, str]:
+    """A person's name read with the family name first."""
+    return (p[0], p[2], p[3], p[1]) if p[2] else (p[0], p[3], "", p[1])
+
+
+def _person(a: tuple[str, str, str, str], b: tuple[str, str, str, str], la: int, lb: int) -> int:
+    """``verdict`` of two persons, in the order they are written."""
     if not _near(a[3], b[3]):
         return 0
     if la == lb:
