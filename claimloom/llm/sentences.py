@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,10 +68,6 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _HIDDEN = re.compile(f"[{UNSEEN}]")
 _PLAIN_END = re.compile(f"[{re.escape(TERMINALS)}:;,][{re.escape(CLOSERS)}\\s]*$")
 
-#: Candidate ends a span may skip; longer spans than this never win, whatever the text length.
-MAX_SKIPPED = 48
-#: Words a sentence may have before no further candidate start is tried for it.
-MAX_WORDS = 400
 NEVER = -9.0
 
 
@@ -108,28 +105,41 @@ def _pairs(s: str) -> list[tuple[int, int, bool]]:
     """Matched quotations and brackets of a block: ``(open, close, is_quote)``. Unmatched marks count as none."""
     stack: list[tuple[str, int]] = []
     out = []
+    held: Counter[str] = Counter()
+
+    def pop(k: int) -> None:
+        held.subtract(x for x, _ in stack[k:])
+        del stack[k:]
+
+    # A closing mark without a partner is known by the counts; else all that is searched is taken off.
     for m in _MARK.finditer(s):
         i, c = m.start(), m[0]
         if c in QUOTES or c in BRACKETS:
             if c == "“" and stack and stack[-1][0] == "„":
-                out.append((stack.pop()[1], i, True))
+                out.append((stack[-1][1], i, True))
+                pop(len(stack) - 1)
             else:
                 stack.append((c, i))
+                held[c] += 1
         elif c in OPEN_OF:
             want = OPEN_OF[c]
-            for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
+            if not held[want] and not (c == "”" and held["„"]):
+                continue
+            for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == want or (c == "”" and stack[k][0] == "„"):
                     out.append((stack[k][1], i, stack[k][0] in QUOTES))
-                    del stack[k:]
+                    pop(k)
                     break
         elif c == '"':
+            if not held[c]:
+                stack.append((c, i))
+                held[c] += 1
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == '"':
                     out.append((stack[k][1], i, True))
-                    del stack[k:]
+                    pop(k)
                     break
-            else:
-                stack.append((c, i))
     return out
 
 
@@ -284,12 +294,18 @@ def block_spans(s: str, is_item: bool = False) -> list[tuple[int, int]]:
     upto = [bisect_left(starts, p[0]) for p in points]
     best = [0.0] * len(points)
     back = [0] * len(points)
+    # The most that a span from a point, or from one before it, can start with.
+    most = [0.0] * len(points)
     for j in range(1, len(points)):
         top, at = -1e18, j - 1
-        # From the shortest span to the longest; beyond the longest sentence no span can win.
-        for i in range(j - 1, max(0, j - MAX_SKIPPED) - 1, -1):
+        if j > 1:
+            most[j - 1] = max(most[j - 2], best[j - 1] + opening[j - 1] - inside[j - 1])
+        else:
+            most[0] = best[0] + opening[0] - inside[0]
+        # From the shortest span to the longest, until the bound shows that no longer one can win.
+        for i in range(j - 1, -1, -1):
             words = upto[j] - upto[i]
-            if words > MAX_WORDS and i < j - 1:
+            if most[i] - 0.02 * max(0, words - 45) - 2.0 < top - 1e-9:
                 break
             if 1 < words <= 45:
                 length = 0.0
