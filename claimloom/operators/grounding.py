@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-#: Shortest quote that is looked for, smallest ratio of a fuzzy hit, places tried for one anchor.
+#: Shortest quote that is looked for, smallest ratio of a fuzzy hit, words tried as anchor.
 MIN_QUOTE = 8
 FUZZY_RATIO = 0.82
-MAX_PLACES = 24
 ANCHORS = 12
 _HIT = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("ratio", DoubleType()), StructField("how", StringType())])
 
@@ -38,10 +37,10 @@ def collapse(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def places(haystack: str, needle: str, limit: int = MAX_PLACES) -> list[int]:
-    """The first ``limit`` places where ``needle`` stands."""
+def places(haystack: str, needle: str) -> list[int]:
+    """All places where ``needle`` stands."""
     found, i = [], haystack.find(needle)
-    while i >= 0 and len(found) < limit:
+    while i >= 0:
         found.append(i)
         i = haystack.find(needle, i + 1)
     return found
