@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,8 +16,10 @@ from ..session import discard, materialise  # noqa: F401
 CAPACITY = 2048
 #: Tokens that one group packs: about 2,000 containers, so a group is one small task at any corpus size.
 GROUP_TOKENS = 4_000_000
-#: Longest stretch handed to the tokenizer at once; longer texts are cut at this length before they are counted.
+#: Length from which a text is cut before it is counted, at the next place where a blank follows something else.
 STRETCH = 200_000
+# The tokenizer's words end before a blank whatever stands around, so tokens on both sides are those of the whole text.
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 _PARTS = "doc_id bigint, part int, n_tokens int, container string"
 
@@ -51,7 +54,17 @@ def count_tokens(text: str | None, path: str) -> int:
     if not text:
         return 0
     enc = encoder(path)
-    return sum(len(enc.encode_ordinary(text[i : i + STRETCH])) for i in range(0, len(text), STRETCH))
+    return sum(len(enc.encode_ordinary(part)) for part in stretches(text))
+
+
+def stretches(text: str, length: int | None = None) -> Iterator[str]:
+    """A text in parts of about ``length`` (``STRETCH``) characters that no word of the tokenizer crosses; one without blanks stays whole."""
+    length, at = length or STRETCH, 0
+    while at < len(text):
+        cut = _CUT.search(text, at + length)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 def token_counts(documents: DataFrame, path: str) -> DataFrame:
