@@ -64,13 +64,14 @@ def is_pointing(name: Column) -> Column:
 
 
 def initials_form(key: Column) -> Column:
-    """Initials of all words but the last, then the last: "suvir suren sujan" gives "s s sujan"."""
+    """Initials of all words but the last, then the last: "anna maria keller" gives "a m keller"."""
     w = F.split(key, " ")
     return F.array_join(F.concat(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: F.substring(x, 1, 1)), F.slice(w, -1, 1)), " ")
 
 
 def same_entity(a: Column, b: Column) -> Column:
-    """Equal keys, one key beginning with the other's words (first word longer than three), or equal initials forms."""
+    """Equal keys, one key beginning with the other's words (first word longer than three), or equal initials forms.
+    An empty key is nobody's."""
 
     def decide(x: Column, y: Column) -> Column:
         wx, wy = F.split(x, " "), F.split(y, " ")
@@ -81,4 +82,4 @@ def same_entity(a: Column, b: Column) -> Column:
 
     # No ``let`` here: the accent-folding UDF may not stand inside a lambda.
     x, y = entity_key(a), entity_key(b)
-    return F.when((x == "") | (y == ""), x == y).otherwise(decide(x, y))
+    return F.when((x == "") | (y == ""), False).otherwise(decide(x, y))

@@ -81,3 +81,12 @@ def cascade(text: Column, steps: list[tuple]) -> Column:
         return lambda g: F.when(F.size(g) > 1, F.struct(result(g).alias("v")))
 
     return F.coalesce(*[let(groups(text, pattern, count), step(result)) for pattern, count, result in steps])["v"]
+
+
+def first_of(text: Column, steps: list[tuple]) -> Column:
+    """As ``cascade``, but a step whose result is null is passed over, and the next one is tried."""
+
+    def step(result):
+        return lambda g: F.when(F.size(g) > 1, result(g))
+
+    return F.coalesce(*[let(groups(text, pattern, count), step(result)) for pattern, count, result in steps])

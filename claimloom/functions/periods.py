@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .months import cascade, date_of, let, lookup
+from ..session import strip_blanks
+from .months import date_of, first_of, let, lookup
 
 # English month names and their short forms.
 _MONTHS = {m: i for i, names in enumerate(("january jan", "february feb", "march mar", "april apr", "may", "june jun", "july jul", "august aug", "september sep sept", "october oct", "november nov", "december dec"), 1) for m in names.split()}
 _NAMES = "|".join(sorted(_MONTHS, key=lambda w: (-len(w), w)))
-_FY = r"(?:fy|fiscal(?: year)?|financial year)"
+_DIGITS = "".join(chr(zero + i) for zero in (0x0660, 0x06F0, 0x0966, 0x09E6, 0x0E50, 0xFF10) for i in range(10))
 # How much each wording says about the month in which a fiscal year ends.
 FISCAL_HINTS = (
-    (rf"(?i)(?:financial|fiscal)\s+year\s+ended\s+(?:on\s+)?(?:\d{{1,2}}\s+)?({_NAMES})\b", 5.0),
-    (rf"(?i)\byear\s+ended\s+(?:on\s+)?(?:\d{{1,2}}(?:st|nd|rd|th)?\s+)?({_NAMES})\s*\d{{0,2}},?\s*\d{{4}}", 1.0),
-    (rf"(?i)\byear\s+ending\s+(?:on\s+)?(?:\d{{1,2}}\s+)?({_NAMES})\b", 1.0),
-    (rf"(?i)\bas\s+(?:on|at)\s+(?:\d{{1,2}}\s+)?({_NAMES})\s*\d{{0,2}},?\s*\d{{4}}", 0.25),
+    (rf"(?iU)(?:financial|fiscal)\s+year\s+ende[dr]\s+(?:on\s+)?(?:\d{{1,2}}\s+)?({_NAMES})\b", 5.0),
+    (rf"(?iU)\byear\s+ended\s+(?:\d{{1,2}}\s+)?({_NAMES})\s+\d{{1,2}},?\s*\d{{4}}\b", 1.0),
+    (rf"(?iU)\byear\s+ending\s+(?:\d{{1,2}}\s+)?({_NAMES})\b", 1.0),
+    (rf"(?iU)\bas\s+(?:on|at)\s+(?:\d{{1,2}}\s+)?({_NAMES})\s+\d{{1,2}},?\s*\d{{4}}\b", 0.25),
 )
 #: How much the best month must outweigh the second.
 FISCAL_MARGIN = 1.25
@@ -68,65 +69,68 @@ def parse_period(text: Column, fy_end_month: Column, strict: bool = False) -> Co
     """``struct<raw, kind, start, end, label>`` of the first pattern that holds, tried in a fixed order; else null.
 
     Patterns are tried one after the other over the whole text, not by position: fiscal quarters, halves, calendar
-    quarters, fiscal years, calendar years, instants, "year ended", months, bare years. Unless ``strict``, a full ISO
-    date is an instant before any span of years is seen in it.
+    quarters, fiscal years, calendar years, instants, "year ended", months, bare years. A pattern whose first match
+    names no month or no day is passed over. Digits of other scripts are read, and shown, as plain ones. Unless
+    ``strict``, a full ISO date is an instant before any span of years is seen in it.
     """
     int_ = lambda c: c.cast("int")
 
     def made(raw: Column, kind: str, window: Column, label: Column) -> Column:
-        return let(window, lambda w: F.struct(raw.alias("raw"), F.lit(kind).alias("kind"), w["start"].alias("start"), w["end"].alias("end"), label.alias("label")))
+        return let(window, lambda w: F.when(w["start"].isNotNull() & w["end"].isNotNull(), F.struct(strip_blanks(raw).alias("raw"), F.lit(kind).alias("kind"), w["start"].alias("start"), w["end"].alias("end"), label.alias("label"))))
 
     def quarter(raw, q, year):
         return made(raw, "fiscal_quarter", fiscal_quarter_window(year, q, fy_end_month), F.format_string("Q%d FY%d", q, year))
 
+    def half(raw, h, year):
+        return made(raw, "fiscal_half", fiscal_half_window(year, h, fy_end_month), F.format_string("H%d FY%d", h, year))
+
     def cal_quarter(raw, year, q):
         return made(raw, "calendar_quarter", calendar_quarter_window(year, q), F.format_string("%dQ%d", year, q))
 
     def year_of(raw, year, month=None):
         return made(raw, "fiscal_year", fiscal_year_window(year, fy_end_month if month is None else month), F.format_string("FY%d", year))
 
+    def calendar_year(raw, year):
+        return made(raw, "calendar_year", fiscal_year_window(year, F.lit(12)), F.format_string("CY%d", year))
+
+    def month(raw, name, year):
+        return let(month_of(name), lambda m: made(raw, "month", _span(date_of(year, m, F.lit(1)), F.lit(1)), F.format_string("%d-%02d", year, m)))
+
     def instant(raw, year, month, day):
-        end = last_day_of(year, month)
-        at = F.least(F.date_add(date_of(year, month, F.lit(1)), F.coalesce(day, F.lit(1)) - 1), end)
+        at = date_of(year, month, F.least(day, F.day(last_day_of(year, month))))
         return made(raw, "instant", F.struct(at.alias("start"), at.alias("end")), F.date_format(at, "yyyy-MM-dd"))
 
-    day = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))).cast("int")
-    span = r"(\d{2,4})(?:\s*[-–/]\s*(\d{2,4}))?"
-    find = lambda body: rf"(?is)^.*?({body}).*$"
+    day = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")), F.lit("1")).cast("int")
+    # The notations, the most telling first. A slash or a hyphen joins the years of a span.
+    span = r"([0-9]{2,4})(?:\s*[-/]\s*([0-9]{2,4}))?"
+    find = lambda body: rf"(?isU)^.*?({body}).*$"
+    iso = (find(r"(?<!\d)((?:19|20)[0-9]{2})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(?!\d)"), 4, lambda g: instant(g[0], int_(g[1]), int_(g[2]), int_(g[3])))
     steps = [
-        (find(rf"(?<![a-z0-9])q([1-4])\s*{_FY}\s*'?{span}(?!\d)"), 4, lambda g: quarter(g[0], int_(g[1]), span_end(g[2], g[3]))),
-        (find(rf"(?<![a-z0-9])([1-4])q\s*{_FY}\s*'?{span}(?!\d)"), 4, lambda g: quarter(g[0], int_(g[1]), span_end(g[2], g[3]))),
-        (find(rf"(?<![a-z0-9])q([1-4])\s+of\s+{_FY}\s*'?{span}(?!\d)"), 4, lambda g: quarter(g[0], int_(g[1]), span_end(g[2], g[3]))),
-        (find(r"(?<![a-z0-9])q([1-4])\s*[: ]\s*(\d{4})\s*[-–/]\s*(\d{2,4})(?!\d)"), 4, lambda g: quarter(g[0], int_(g[1]), span_end(g[2], g[3]))),
-        (
-            find(rf"(?<![a-z0-9])h([12])\s*[: ]?\s*(?:of\s+)?(?:{_FY})?\s*'?{span}(?!\d)"),
-            4,
-            lambda g: made(g[0], "fiscal_half", fiscal_half_window(span_end(g[2], g[3]), int_(g[1]), fy_end_month), F.format_string("H%d FY%d", int_(g[1]), span_end(g[2], g[3]))),
-        ),
-        (find(r"(?<![a-z0-9])(?:cy\s*)?(\d{4})\s*q([1-4])(?!\d)"), 3, lambda g: cal_quarter(g[0], int_(g[1]), int_(g[2]))),
-        (find(r"(?<![a-z0-9])q([1-4])\s*(?:cy\s*)?(\d{4})(?!\d|\s*[-–/]\s*\d)"), 3, lambda g: cal_quarter(g[0], int_(g[2]), int_(g[1]))),
-        *([] if strict else [(find(r"(?<!\d)((?:19|20)\d{2})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])(?!\d)"), 4, lambda g: instant(g[0], int_(g[1]), int_(g[2]), int_(g[3])))]),
-        (find(rf"(?<![a-z0-9]){_FY}\s*'?(\d{{2,4}})\s*[-–/]\s*(\d{{2,4}})(?!\d)"), 3, lambda g: year_of(g[0], span_end(g[1], g[2]))),
-        (find(rf"(?<![a-z0-9]){_FY}\s*'?(\d{{2,4}})(?!\d)"), 2, lambda g: year_of(g[0], expand_year(g[1]))),
-        (find(r"(?<!\d)((?:19|20)\d{2})\s*[-–/]\s*(\d{4}|\d{2})(?!\d)"), 3, lambda g: year_of(g[0], span_end(g[1], g[2]))),
-        (find(r"(?<![a-z0-9])cy\s*(\d{4})(?!\d)"), 2, lambda g: made(g[0], "calendar_year", fiscal_year_window(int_(g[1]), F.lit(12)), F.concat(F.lit("CY"), g[1]))),
-        (find(rf"as\s+(?:on|at|of)\s+(\d{{1,2}})?(?:st|nd|rd|th)?\s*({_NAMES})\.?\s*(\d{{1,2}})?(?:st|nd|rd|th)?,?\s*(\d{{4}})(?!\d)"), 5, lambda g: instant(g[0], int_(g[4]), month_of(g[2]), day(g[1], g[3]))),
-        (find(rf"(?:year|period)\s+ended\s+.{{0,20}}?({_NAMES})\b.{{0,8}}?(\d{{4}})(?!\d)"), 3, lambda g: year_of(g[0], int_(g[2]), month_of(g[1]))),
-        (
-            find(rf"\b({_NAMES})\.?,?\s+(\d{{4}})(?!\d)"),
-            3,
-            lambda g: made(g[0], "month", _span(date_of(int_(g[2]), month_of(g[1]), F.lit(1)), F.lit(1)), F.format_string("%04d-%02d", int_(g[2]), month_of(g[1]))),
-        ),
-        (find(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), 2, lambda g: made(g[0], "calendar_year", fiscal_year_window(int_(g[1]), F.lit(12)), F.concat(F.lit("CY"), g[1]))),
+        (find(rf"\bq([1-4])\s*[:\-]?\s*fy\s*{span}\b"), 4, lambda g: quarter(g[0], int_(g[1]), span_end(g[2], g[3]))),
+        (find(rf"\b([1-4])\s*q\s*fy\s*{span}\b"), 4, lambda g: quarter(g[0], int_(g[1]), span_end(g[2], g[3]))),
+        (find(rf"\bq([1-4])\s+of\s+(?:fy|fiscal(?:\s+year)?)\s*{span}\b"), 4, lambda g: quarter(g[0], int_(g[1]), span_end(g[2], g[3]))),
+        (find(r"\bq([1-4])\s*[:\s]\s*([0-9]{4})\s*[-/]\s*([0-9]{2,4})\b"), 4, lambda g: quarter(g[0], int_(g[1]), span_end(g[2], g[3]))),
+        (find(rf"\bh([12])\s*[:\-]?\s*(?:fy\s*)?{span}\b"), 4, lambda g: half(g[0], int_(g[1]), span_end(g[2], g[3]))),
+        (find(r"\b(?:cy)?([0-9]{4})\s*[:\-]?\s*q([1-4])\b"), 3, lambda g: cal_quarter(g[0], int_(g[1]), int_(g[2]))),
+        (find(r"\bq([1-4])\s*[,\s]\s*(?:cy\s*)?([0-9]{4})\b(?!\s*[-/]\s*\d)"), 3, lambda g: cal_quarter(g[0], int_(g[2]), int_(g[1]))),
+        *([] if strict else [iso]),
+        (find(r"\bfy\s*([0-9]{2,4})\s*[-/]\s*([0-9]{2,4})\b"), 3, lambda g: year_of(g[0], span_end(g[1], g[2]))),
+        (find(r"\b(?:fy|fiscal(?:\s+year)?)\s*([0-9]{2,4})\b(?!\s*[-/]\s*\d)"), 2, lambda g: year_of(g[0], expand_year(g[1]))),
+        (find(r"\b((?:19|20)[0-9]{2})\s*[-/]\s*([0-9]{2})\b"), 3, lambda g: year_of(g[0], span_end(g[1], g[2]))),
+        (find(r"\b(?:cy|calendar\s+year)\s*([0-9]{4})\b"), 2, lambda g: calendar_year(g[0], int_(g[1]))),
+        (find(r"\bas\s+(?:on|at|of)\s+([0-9]{1,2})?\s*([a-z]{3,9})\.?,?\s*([0-9]{1,2})?,?\s*([0-9]{4})\b"), 5, lambda g: instant(g[0], int_(g[4]), month_of(g[2]), day(g[1], g[3]))),
+        (find(r"\b(?:year|period)\s+ended\s+(?:[0-9]{1,2})?\s*([a-z]{3,9})\.?,?\s*(?:[0-9]{1,2})?,?\s*([0-9]{4})\b"), 3, lambda g: year_of(g[0], int_(g[2]), month_of(g[1]))),
+        (find(r"\b([a-z]{3,9})\.?\s+((?:19|20)[0-9]{2})\b"), 3, lambda g: month(g[0], g[1], int_(g[2]))),
+        (find(r"\b((?:19|20)[0-9]{2})\b"), 2, lambda g: calendar_year(g[0], int_(g[1]))),
     ]
-    return let(text, lambda t: cascade(t, steps))
+    return let(F.translate(text, _DIGITS, "0123456789" * (len(_DIGITS) // 10)), lambda t: first_of(t, steps))
 
 
 def period_or_unknown(text: Column, fy_end_month: Column) -> Column:
     """``parse_period``, and kind 'unknown' with the trimmed text for anything else that is not blank."""
     none = F.lit(None)
-    unknown = F.struct(F.trim(text).alias("raw"), F.lit("unknown").alias("kind"), none.cast("date").alias("start"), none.cast("date").alias("end"), none.cast("string").alias("label"))
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.coalesce(parse_period(text, fy_end_month), unknown))
+    unknown = F.struct(strip_blanks(text).alias("raw"), F.lit("unknown").alias("kind"), none.cast("date").alias("start"), none.cast("date").alias("end"), none.cast("string").alias("label"))
+    return F.when(strip_blanks(F.coalesce(text, F.lit(""))) != "", F.coalesce(parse_period(text, fy_end_month), unknown))
 
 
 def resolved(p: Column) -> Column:

@@ -22,14 +22,20 @@ _STRICT_MARKERS = r"us\$|[₹$€£¥]|rs\.?|inr|usd|eur|gbp|jpy|aed|sgd|cny|rmb
 _WORDS = "|".join(sorted(SCALE_WORDS, key=lambda w: (-len(w), w)))
 
 
-def _last_currency(text: Column, strict: bool) -> Column:
+# Scale words that headings use, and what a unit hint may name as a percentage.
+_HEADER_WORDS = "hundred|thousand|lakhs?|lacs?|millions?|crores?|billions?|trillions?"
+_PERCENT_HINT = r"%|per cent|percent|pp|bps|basis points"
+
+
+def _currency(text: Column, strict: bool, first: bool = False) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({_STRICT_MARKERS if strict else _MARKERS})"), F.lit(1))
-    return lookup(CURRENCY_CODES, F.try_element_at(found, F.lit(-1)), "string")
+    return lookup(CURRENCY_CODES, F.try_element_at(found, F.lit(1 if first else -1)), "string")
 
 
 def detect_currency(before: Column, strict: bool = False) -> Column:
-    """Code of the last currency marker in the 40 characters before a number; codes of letters only as whole words."""
-    return _last_currency(F.substring(before, F.greatest(F.length(before) - 39, F.lit(1)), F.lit(40)), strict)
+    """Code of the last currency marker in the 40 characters before a number; codes of letters only as whole words,
+    unless ``strict``."""
+    return _currency(F.substring(before, F.greatest(F.length(before) - 39, F.lit(1)), F.lit(40)), strict)
 
 
 def detect_percent(after: Column) -> Column:
@@ -45,51 +51,58 @@ def singularise(token: Column) -> Column:
 def magnitude_from_header(text: Column) -> Column:
     """Scale that a heading announces: "in <scale>" anywhere, else a currency before a scale; null where none does."""
     low = F.lower(text)
-    first = F.regexp_extract(low, rf"\bin\s+({_WORDS})\b", 1)
-    second = F.regexp_extract(low, rf"(?:us\$|[₹$€£¥]|\b(?:rs\.?|inr|usd|eur|gbp|jpy|aed|sgd|cny|rmb))\s*({_WORDS})\b", 1)
+    first = F.regexp_extract(low, rf"(?U)\bin\s+({_HEADER_WORDS})\b", 1)
+    second = F.regexp_extract(low, r"(?U)(?:₹|rs\.?|inr|usd|\$)\s*(?:in\s*)?(thousand|lakhs?|lacs?|millions?|crores?|billions?)\b", 1)
     return scale_for(F.when(first != "", first).otherwise(second))
 
 
 def page_unit_hint(text: Column) -> Column:
-    """The first "currency [in] scale" of a page, as written; null where there is none."""
-    found = F.regexp_extract(text, rf"(?i)((?:us\$|[₹$€£¥]|\b(?:rs\.?|inr|usd|eur|gbp|jpy|aed|sgd|cny|rmb)\b)\s*(?:in\s+)?(?:{_WORDS})\b)", 1)
+    """The first "currency [in] scale" of a page with its brackets, as written; null where there is none."""
+    found = F.regexp_extract(text, r"(?iU)(\(?\s*(?:₹|(?<![a-z])rs\.?|(?<![a-z])inr|(?<![a-z])usd|\$|€|£)\s*(?:in\s+)?(?:hundred|thousand|lakhs?|millions?|crores?|billions?)\s*\)?)", 1)
     return F.when(found != "", found)
 
 
-def build_quantity(text: Column, unit_hint: Column, magnitude_hint: Column, strict: bool = False) -> Column:
+def build_quantity(text: Column, unit_hint: Column, magnitude_hint: Column, strict: bool = False, hint_scales_money_only: bool = False) -> Column:
     """``struct<raw, value, unit, magnitude, kind, canonical_value, canonical_unit, approximate>``; null without a number.
 
-    Order of decisions: percent after the number, basis points, currency before it, currency in the hint, a noun of
-    mass or duration after it, percent in the hint, otherwise no unit. A scale word after the number counts, else the
-    hint; unless ``strict``, the hint applies to money only.
+    Order of decisions: percent after the number, basis points, currency before it, the first currency in the hint, a
+    noun of mass or duration after it, percent in the hint, otherwise no unit. A scale word after the number counts,
+    else the hint, else 1; basis points take no scale. A page's scale note multiplies whatever stands on the page, as
+    the note says; ``hint_scales_money_only`` keeps it from percentages and durations. ``strict`` takes letters inside
+    words for currencies, looks at the second word for a noun and cuts ungrouped digits.
     """
-    from_hint = lambda h: F.lower(F.coalesce(h, F.lit("")))
+
+    hint = F.coalesce(unit_hint, F.lit(""))
+    known = lambda w: lookup(MASS | DURATION, w, "double").isNotNull()
 
     def made(n: Column) -> Column:
         word = scale_suffix(n["tail"])
-        own = scale_for(word)
         after = F.regexp_replace(n["tail"], rf"(?i)^[{BLANK}]*(?:{_WORDS})(?![A-Za-z])\.?", "")
-        rest = F.when(word != "", after).otherwise(n["tail"])
-        pct = F.coalesce(detect_percent(n["tail"]), detect_percent(rest))
-        cur = F.coalesce(detect_currency(n["prefix"], strict), _last_currency(F.coalesce(unit_hint, F.lit("")), strict))
-        near = F.lower(F.regexp_extract(rest, r"^[\s-]*([A-Za-z]+)", 1))
-        second = F.lower(F.regexp_extract(rest, r"^[\s-]*[A-Za-z]+\s+([A-Za-z]+)", 1))
-        known = lambda w: lookup(MASS, w, "double").isNotNull() | lookup(DURATION, w, "double").isNotNull()
-        noun = F.when(known(near), near).otherwise(second) if not strict else F.when(second != "", second).otherwise(near)
-        mass, days = lookup(MASS, noun, "double"), lookup(DURATION, noun, "double")
-        hint_pct = from_hint(unit_hint).rlike(r"%|per ?cent|percent")
-        kind = F.when(pct.isNotNull(), "percent").when(cur.isNotNull(), "currency").when(mass.isNotNull(), "count").when(days.isNotNull(), "duration").when(hint_pct, "percent").otherwise("other")
-        unit = F.when(pct.isNotNull() | ((kind == "percent")), "percent").when(kind == "currency", cur).when(kind == "count", "kg").when(kind == "duration", "days")
-        hinted = magnitude_hint if strict else F.when(kind == "currency", magnitude_hint)
-        magnitude = F.coalesce(own, hinted, F.lit(1.0))
-        factor = F.when(kind == "count", mass).when(kind == "duration", days).otherwise(F.lit(1.0))
-        value = F.when(unit.isNull(), F.lit(None).cast("double")).when(pct == "basis_points", n["value"] * 0.01).otherwise(n["value"] * magnitude * factor)
-        return F.when(
-            n.isNotNull(),
-            F.struct(
-                F.substring(F.trim(text), 1, 120).alias("raw"), n["value"].alias("value"), unit.alias("unit"), magnitude.alias("magnitude"), kind.alias("kind"), value.alias("canonical_value"), unit.alias("canonical_unit"), n["approximate"].alias("approximate")
-            ),
-        )
+        return F.when(n.isNotNull(), let(F.struct(word.alias("word"), F.when(word != "", after).otherwise(n["tail"]).alias("rest")), lambda t: classified(n, t)))
+
+    def classified(n: Column, t: Column) -> Column:
+        nouns = let(F.struct(singularise(F.lower(F.regexp_extract(t["rest"], r"^[\s-]*([A-Za-z]+)", 1))).alias("near"), singularise(F.lower(F.regexp_extract(t["rest"], r"^[\s-]*[A-Za-z]+\.?\s+([A-Za-z]+)", 1))).alias("next")), lambda x: F.when(x["next"] != "", x["next"]).otherwise(x["near"]) if strict else F.when(known(x["near"]), x["near"]).otherwise(x["next"]))
+        said = {
+            "pct": F.coalesce(detect_percent(n["tail"]), detect_percent(t["rest"])),
+            "cur": F.coalesce(detect_currency(n["prefix"], strict), _currency(hint, strict, first=True)),
+            "noun": nouns,
+            "own": scale_for(t["word"]),
+        }
+        return let(F.struct(*[v.alias(k) for k, v in said.items()]), lambda x: let(F.struct(lookup(MASS, x["noun"], "double").alias("mass"), lookup(DURATION, x["noun"], "double").alias("days")), lambda f: finished(n, x, f)))
+
+    def finished(n: Column, x: Column, f: Column) -> Column:
+        kind = F.when(x["pct"].isNotNull(), "percent").when(x["cur"].isNotNull(), "currency").when(f["mass"].isNotNull(), "count").when(f["days"].isNotNull(), "duration").when(F.lower(hint).rlike(_PERCENT_HINT), "percent").otherwise("other")
+        return let(kind, lambda k: told(n, x, f, k))
+
+    def told(n: Column, x: Column, f: Column, kind: Column) -> Column:
+        canonical = F.when(kind == "percent", "percent").when(kind == "currency", x["cur"]).when(kind == "count", "kg").when(kind == "duration", "days")
+        printed = F.when(x["pct"] == "basis_points", "bps").when(kind == "percent", "%").when(kind == "currency", x["cur"]).when(kind.isin("count", "duration"), x["noun"])
+        hinted = F.when(kind == "currency", magnitude_hint) if hint_scales_money_only else magnitude_hint
+        magnitude = F.coalesce(x["own"], F.nullif(hinted, F.lit(0.0)), F.lit(1.0))
+        factor = F.when(kind == "count", f["mass"]).when(kind == "duration", f["days"]).otherwise(F.lit(1.0))
+        value = F.when(kind == "other", F.lit(None).cast("double")).when(x["pct"] == "basis_points", n["value"] * 0.01).otherwise(n["value"] * magnitude * factor)
+        fields = {"raw": F.substring(F.trim(text), 1, 120), "value": n["value"], "unit": printed, "magnitude": magnitude, "kind": kind, "canonical_value": value, "canonical_unit": canonical, "approximate": n["approximate"]}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
 
     return let(parse_number(text, strict), made)
 

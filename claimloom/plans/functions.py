@@ -8,6 +8,7 @@ from ..functions import entities, loosejson, measures, numbers, periods, text, u
 from ..operators import adjudicate as adj
 from ..operators import claims, grounding, ingest, registry, store
 from ..session import materialise, table
+from . import written as w
 
 
 def _raws(spark, sf_dir):
@@ -100,7 +101,7 @@ def token_frequency(spark, sf_dir):
 
 
 def measure_similarity(spark, sf_dir):
-    return registry.similar_names(table(spark, sf_dir, "facts")).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return registry.similar_names(table(spark, sf_dir, "facts")).select("a", "kind_a", "b", "kind_b", F.round("similarity", 6).alias("similarity"))
 
 
 def registry_batch(spark, sf_dir):
@@ -108,9 +109,15 @@ def registry_batch(spark, sf_dir):
 
 
 def registry_exact(spark, sf_dir):
+    """The order-dependent registry: one call a fact, in order of extraction."""
     return registry.assign_sequential(table(spark, sf_dir, "facts"), registry.MeasureRegistry(), ["extracted_at", "id"])
 
 
+def registry_names(spark, sf_dir):
+    """The order-dependent registry with one call a distinct name, as the stream uses it."""
+    return registry.assign_names(table(spark, sf_dir, "facts"), registry.MeasureRegistry(), ["extracted_at", "id"])
+
+
 def _blocks(spark, sf_dir):
     return ingest.split_blocks(table(spark, sf_dir, "doc_pages"))
 
@@ -164,8 +171,10 @@ def page_hints(spark, sf_dir):
 
 
 def ground_exact(spark, sf_dir):
+    """Where quotes stand on their page character for character."""
     found = grounding.ground(table(spark, sf_dir, "evidence").select("evidence_id", "doc_id", "page", "quote"), table(spark, sf_dir, "doc_pages"), fuzzy=False)
-    return found.select("evidence_id", "char_start", "char_end")
+    hit = F.col("how") == "exact"
+    return found.select("evidence_id", F.when(hit, F.col("char_start")).alias("char_start"), F.when(hit, F.col("char_end")).alias("char_end"))
 
 
 def ground_fuzzy(spark, sf_dir):
@@ -179,39 +188,66 @@ def contains_value(spark, sf_dir):
     return e.join(f, "id").select("evidence_id", text.contains_value(F.col("quote"), F.col("raw")).alias("held"))
 
 
+def ground_blanks(spark, sf_dir):
+    """How each quote is found on its page without the fuzzy search: as it is, or with other blanks."""
+    found = grounding.ground(table(spark, sf_dir, "evidence").select("evidence_id", "doc_id", "page", "quote"), table(spark, sf_dir, "doc_pages"), fuzzy=False)
+    return found.select("evidence_id", "how", "ratio")
+
+
 def _claims(spark, sf_dir):
-    """Claims as an extractor would answer, from the facts and their evidence, as JSON per page."""
+    """Claims as an extractor would answer, from the facts and their evidence, as JSON per page, with the page's hints."""
     f = table(spark, sf_dir, "facts").groupBy("id").agg(F.max_by(F.struct("fact_type", "entity", "measure_raw", F.col("quantity.raw").alias("raw"), "value_text", F.col("period.raw").alias("period"), "basis", "estimate_type", "confidence"), "extracted_at").alias("f"))
     e = table(spark, sf_dir, "evidence").select(F.col("fact_id").alias("id"), "doc_id", "page", "quote", "evidence_id")
     c = F.struct(F.col("f.fact_type").alias("fact_type"), F.col("f.entity").alias("subject"), F.col("f.measure_raw").alias("measure"), F.col("f.raw").alias("value_raw"), F.col("f.value_text").alias("value_text"), F.col("f.period").alias("period"), F.col("f.basis").alias("basis"), F.col("f.estimate_type").alias("estimate_type"), F.col("quote").alias("quote"), F.col("page").cast("string").alias("page"), F.col("f.confidence").cast("string").alias("confidence"))
     per_page = e.join(f, "id").groupBy("doc_id", "page").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("evidence_id", c.alias("c")))), lambda x: x["c"])).alias("payload"))
-    return per_page.select("doc_id", F.array("page").alias("pages"), "payload")
+    hints = table(spark, sf_dir, "doc_pages").select("doc_id", "page", "magnitude_hint", "unit_hint")
+    return per_page.join(hints, ["doc_id", "page"], "left").select("doc_id", F.array("page").alias("pages"), "payload", "magnitude_hint", "unit_hint")
+
 
+def _documents(spark, sf_dir):
+    sources = table(spark, sf_dir, "sources").select("source", "fy_end_month", F.col("publisher").alias("principal_entity"))
+    return table(spark, sf_dir, "documents").join(sources, "source", "left").select("doc_id", "principal_entity", "published", "fy_end_month")
 
-def _checked(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "sources").select("source", "fy_end_month", F.col("publisher").alias("principal_entity")), "source", "left").select("doc_id", "principal_entity", "published", "fy_end_month")
-    return materialise(claims.check_claims(claims.explode_claims(_claims(spark, sf_dir)), table(spark, sf_dir, "doc_pages"), docs), "checked")[0]
+
+def _checked(spark, sf_dir, fuzzy=True):
+    return materialise(claims.check_claims(claims.explode_claims(_claims(spark, sf_dir)), table(spark, sf_dir, "doc_pages"), _documents(spark, sf_dir), fuzzy=fuzzy), "checked")[0]
 
 
 def claims_validate(spark, sf_dir):
-    return _checked(spark, sf_dir).select("uid", "failure", "fact_type", "measure_raw", "entity", "confidence", "page")
+    """Every claim with its rejection, grounded as it is or with other blanks; SQL cannot follow the fuzzy search."""
+    return _checked(spark, sf_dir, fuzzy=False).select("uid", "failure", "fact_type", "measure_raw", "entity", "estimate_type", "confidence", "page", "match_method", "as_of", "scale_note_applied")
 
 
 def claims_facts(spark, sf_dir):
-    return claims.accepted_facts(_checked(spark, sf_dir)).select("id", "doc_id", "entity_key", "confidence")
+    facts = claims.accepted_facts(_checked(spark, sf_dir, fuzzy=False))
+    return facts.select("doc_id", "page", "measure_raw", "entity_key", F.col("quantity.kind").alias("kind"), F.col("quantity.canonical_unit").alias("unit"), F.col("quantity.canonical_value").alias("value"), F.col("period.label").alias("period"), F.array_join("basis", ",").alias("basis"), F.regexp_replace("quote", r"(?U)\s+", " ").alias("quote"), "confidence")
 
 
 def failure_summary(spark, sf_dir):
     from ..operators.views import failure_summary as summary
 
-    return summary(claims.failures(_checked(spark, sf_dir)))
+    return summary(claims.failures(_checked(spark, sf_dir, fuzzy=False)))
+
+
+def claims_fuzzy(spark, sf_dir):
+    """``claims_validate`` with the fuzzy search, as the stream runs it."""
+    return _checked(spark, sf_dir).select("uid", "failure", "match_method", "match_score", "confidence", "page")
+
+
+def claims_on_other_pages(spark, sf_dir):
+    """The page on which each quote is found when a unit holds all pages of its document: the reported one, else the first that has it."""
+    every = table(spark, sf_dir, "doc_pages").groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    quotes = table(spark, sf_dir, "evidence").select("doc_id", F.to_json(F.array(F.struct("quote", F.col("page").cast("string").alias("page"), F.col("evidence_id").cast("string").alias("measure")))).alias("payload"))
+    units = quotes.join(every, "doc_id")
+    checked = claims.check_claims(claims.explode_claims(units).withColumn("seq", F.col("claim.measure").cast("bigint")), table(spark, sf_dir, "doc_pages"), _documents(spark, sf_dir), fuzzy=False)
+    return checked.select(F.col("measure_raw").cast("bigint").alias("evidence_id"), F.when(F.col("match_method").isNotNull() & (F.col("failure") == "missing_subject"), F.lit("hit")).otherwise(F.coalesce("failure", F.lit("hit"))).alias("outcome"), "char_start")
 
 
 def json_loose(spark, sf_dir):
     """Answers as models write them (fenced, with prose and trailing commas), parsed back."""
     broken = _claims(spark, sf_dir).select("doc_id", "pages", F.concat(F.lit("Here are the facts:\n```json\n"), F.regexp_replace("payload", "\\]$", ",]"), F.lit("\n```")).alias("payload"))
     parsed = broken.withColumn("payload", loosejson.parse_json_loose(F.col("payload")))
-    return parsed.select("doc_id", F.get("pages", F.lit(0)).alias("page"), F.size(F.from_json("payload", claims.CLAIM_SCHEMA)).alias("n"))
+    return parsed.select("doc_id", F.get("pages", F.lit(0)).alias("page"), F.size(F.from_json("payload", "array<string>")).alias("n"))
 
 
 def relation_ids(spark, sf_dir):
@@ -232,55 +268,42 @@ def documents_new(spark, sf_dir):
 def period_overlaps(spark, sf_dir):
     """Pairs of sources' fiscal years of one year that overlap, by the closing months."""
     s = table(spark, sf_dir, "sources").select("fy_end_month").distinct()
-    w = lambda m: periods.fiscal_year_window(F.lit(2024), m)
+    window = lambda m: periods.fiscal_year_window(F.lit(2024), m)
     pairs = s.withColumnRenamed("fy_end_month", "m1").join(s.withColumnRenamed("fy_end_month", "m2"), F.col("m1") < F.col("m2"))
-    return pairs.select("m1", "m2", periods.overlaps(w(F.col("m1")), w(F.col("m2"))).alias("overlaps"), periods.same_window(w(F.col("m1")), w(F.col("m2"))).alias("same"))
+    return pairs.select("m1", "m2", periods.overlaps(window(F.col("m1")), window(F.col("m2"))).alias("overlaps"), periods.same_window(window(F.col("m1")), window(F.col("m2"))).alias("same"))
 
 
 _NAMES = (
-    parse_number, plausible_grouping, scale_words, build_quantity, magnitude_hint, detect_currency, detect_percent, format_compact, singularise, fiscal_windows, parse_period, fy_end_vote, entity_keys, entity_initials, measure_tokens, token_frequency, measure_similarity, registry_batch, registry_exact, block_offsets,
-    block_kinds, density_score, running_heading, pack_batches, pack_units, unit_stats, budget_cap, clean_text, published_dates, page_hints, ground_exact, ground_fuzzy, contains_value, claims_validate, claims_facts, failure_summary, json_loose, relation_ids, document_dedupe, documents_new, period_overlaps,
+    parse_number, plausible_grouping, scale_words, build_quantity, magnitude_hint, detect_currency, detect_percent, format_compact, singularise, fiscal_windows, parse_period, fy_end_vote, entity_keys, entity_initials, measure_tokens, token_frequency, measure_similarity, registry_batch, registry_exact, registry_names, block_offsets,
+    block_kinds, density_score, running_heading, pack_batches, pack_units, unit_stats, budget_cap, clean_text, published_dates, page_hints, ground_exact, ground_blanks, ground_fuzzy, contains_value, claims_validate, claims_facts, claims_fuzzy, failure_summary, json_loose, relation_ids, document_dedupe, documents_new, period_overlaps,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
-_B = r"[ \t\n\r\x{00a0}\x{2007}\x{2009}\x{202f}]"
-_BG = r"[, \t\n\r\x{00a0}\x{2007}\x{2009}\x{202f}]"
-_NUM = rf"(\(?){_B}*([-−+]?){_B}*((?:\d{{1,3}}(?:{_BG}\d{{2,3}})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)){_B}*(\)?)"
 _RAWS = "raws as (select distinct quantity.raw as raw from facts where quantity.raw is not null)"
 
 
-def _plausible(body: str) -> str:
-    parts = f"string_split(split_part({body}, '.', 1), ',')"
-    return (
-        f"(not contains({body}, ',') or (length({parts}[1]) between 1 and 3 and (len(list_filter({parts}[2:], lambda g: length(g) <> 3)) = 0 "
-        f"or (length({parts}[-1]) = 3 and len(list_filter({parts}[2:-2], lambda g: length(g) <> 2)) = 0))))"
-    )
-
-
-_SCALE_MAP = "map {" + ", ".join(f"'{k}': {v!r}::double" for k, v in numbers.SCALE_WORDS.items()) + "}"
-_SCALE_WORDS = "|".join(sorted(numbers.SCALE_WORDS, key=lambda w: (-len(w), w)))
-_CUR = r"us\$|[₹$€£¥]|\b(?:rs\.?|inr|usd|eur|gbp|jpy|aed|sgd|cny|rmb)"
+_plausible = w.plausible
+_SCALE_MAP = w.SCALE_MAP
 _BLOCKS = r"""blocks as (
     select doc_id, page, u.i - 1 as idx, u.t as text from (
         select doc_id, page, unnest(list_transform(list_filter(regexp_split_to_array(text, '\n[ \t]*\n[ \t\n\x0b\f\r]*'), lambda b: trim(b, ' ') <> ''), lambda t, i: {'t': t, 'i': i})) as u from doc_pages where text is not null))"""
-_STOPS = ", ".join(f"'{w}'" for w in measures.STOPWORDS)
+_STOPS = w.STOPWORDS
 _SINGULAR = """case when {x} = 'indices' then 'index' when {x} = 'analyses' then 'analysis' when length({x}) <= 3 then {x} when {x} like '%ies' then regexp_replace({x}, 'ies$', 'y')
     when regexp_matches({x}, '(?:ses|xes)$') then regexp_replace({x}, 'es$', '') when regexp_matches({x}, '[^s]s$') then regexp_replace({x}, 's$', '') else {x} end"""
 _TOKENS = "list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(strip_accents(replace(measure_raw, '²', '2'))), '([a-z0-9]+)', 1), lambda w: " + _SINGULAR.format(x="w") + f"), lambda w: w not in ({_STOPS}))))"
-_MARKS = ", ".join(f"'{w}'" for w in measures.MARKERS)
-_HON = ", ".join(f"'{w}'" for w in entities.HONORIFICS)
-_SUF = ", ".join(f"'{w}'" for w in entities.SUFFIXES)
-_ART = ", ".join(f"'{w}'" for w in entities.ARTICLES)
-_POINT = ", ".join(f"'{w}'" for w in entities.POINTING)
+_MARKS, _POINT = w.MARKERS, w.POINTING
+_ALIKE = f"""m0 as (select {_TOKENS} t, coalesce(quantity.kind, 'other') kind from facts where measure_raw is not null), m1 as (select t, kind, count(*) n from m0 where len(t) > 0 group by all),
+        obs as (select sum(n) as o from m1), d as (select token, sum(n) df from (select unnest(t) token, n from m1) group by 1), wt as (select token, greatest(0.15, ln((o + 1)::double / (df + 1)::double) + 1) w from d, obs),
+        m as (select array_to_string(t, '_') s, t, list_sort(list_filter(t, lambda x: x in ({_MARKS}))) k, (select sum(w) from wt where list_contains(t, token)) mass from (select distinct t from m1)),
+        p as (select a.s a, b.s b, a.mass ma, b.mass mb, (select sum(w) from wt where list_contains(a.t, token) and list_contains(b.t, token)) sh from m a join m b on a.s < b.s and a.k = b.k and list_has_any(a.t, b.t)),
+        q as (select a, b, greatest(sh / (ma + mb - sh), 0.85 * sh / least(ma, mb)) v from p), k as (select distinct array_to_string(t, '_') s, kind from m1),
+        alike as (select a, x.kind kind_a, b, y.kind kind_b, v from q join k x on x.s = a join k y on y.s = b where v >= 0.68 and (x.kind = y.kind or 'other' in (x.kind, y.kind))
+            union all select x.s, x.kind, x.s, y.kind, 1.0::double from k x join k y on x.s = y.s and x.kind < y.kind where 'other' in (x.kind, y.kind))"""
 SQL = {
-    "parse_number": f"""with {_RAWS}, hits as (select raw, list_filter(list_zip(regexp_extract_all(raw, '{_NUM}', 0), regexp_extract_all(raw, '{_NUM}', 3)), lambda x: {_plausible("x[2]")})[1] as h from raws),
-        sized as (select raw, h[1] as hit, try_cast(regexp_replace(h[2], '{_BG}', '', 'g') as double) as v, right(left(raw, strpos(raw, h[1]) - 1), 24) as before from hits)
-        select raw, case when regexp_matches(hit, '^\\(') and regexp_matches(hit, '\\)$') then -abs(v) when regexp_matches(hit, '^\\(?[\\s\\x{{00a0}}]*[-−]') then -v else v end as value,
-            coalesce(v is not null and regexp_matches(lower(before), '\\b(?:about|approximately|approx|around|nearly|roughly|circa|over|more than|almost|close to|in excess of)\\b|~'), false) as approximate from sized""",
+    "parse_number": f"with {_RAWS}, {w.numbers('raws')} select raw, v as value, coalesce(v is not null and hedged, false) as approximate from numbers",
     "plausible_grouping": f"with {_RAWS}, b as (select raw, regexp_extract(raw, '([0-9][0-9,.]*)', 1) as body from raws) select raw, body, {_plausible('body')} as plausible from b where body <> ''",
     "scale_words": f"with {_RAWS} select raw, {_SCALE_MAP}[lower(regexp_extract(raw, '([A-Za-z]+)[.]?$', 1))] as scale from raws",
-    "magnitude_hint": rf"""with h as (select distinct header from facts where header is not null), w as (select header, regexp_extract(lower(header), '\bin\s+({_SCALE_WORDS})\b', 1) a, regexp_extract(lower(header), '(?:{_CUR})\s*({_SCALE_WORDS})\b', 1) b from h)
-        select header, {_SCALE_MAP}[case when a <> '' then a else b end] as magnitude from w""",
+    "magnitude_hint": f"with h as (select distinct header from facts where header is not null) select header, {w.magnitude('header')} as magnitude from h",
     "detect_percent": rf"""with {_RAWS}, a as (select raw, ltrim(lower(left(regexp_extract(raw, '[0-9]([^0-9]*)$', 1), 24)), ' ') s from raws)
         select raw, case when regexp_matches(s, '^(?:%|per\s*cent|percent|percentage point)') then 'percent' when regexp_matches(s, '^(?:bps\b|basis points?)') then 'basis_points' end as unit from a""",
     "singularise": f"""with w as (select distinct unnest(regexp_extract_all(lower(measure_raw), '([a-z]+)', 1)) as word from facts)
@@ -290,54 +313,42 @@ SQL = {
         s as (select *, (make_date(y, fy_end_month, 1) - interval 11 month)::date f, make_date(y, (q - 1) * 3 + 1, 1) c from r)
         select y, fy_end_month, q, f as fy_start, last_day(make_date(y, fy_end_month, 1)) as fy_end, (f + to_months((q - 1) * 3))::date as q_start, last_day((f + to_months(q * 3 - 1))::date) as q_end,
             (f + to_months(((q + 1) // 2 - 1) * 6))::date as h_start, last_day((f + to_months((q + 1) // 2 * 6 - 1))::date) as h_end, c as c_start, last_day((c + interval 2 month)::date) as c_end, (last_day(make_date(y, fy_end_month, 1)) - f + 1)::int as fy_days from s""",
-    "entity_keys": rf"""with e as (select distinct entity from facts where entity is not null),
-        w as (select entity, list_filter(regexp_split_to_array(regexp_replace(translate(lower(strip_accents(entity)), '‘’“”', ''''''''''), '[^\p{{L}}\p{{M}}\p{{N}}_\s&'']', ' ', 'g'), '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{3000}}]+'), lambda x: x <> '') ws from e),
-        f as (select entity, ws[coalesce(list_position(list_transform(ws, lambda x: x in ({_HON})), false), len(ws) + 1):] ws from w),
-        b as (select entity, ws[:len(ws) + 1 - coalesce(list_position(list_reverse(list_transform(ws, lambda x: x in ({_SUF}))), false), len(ws) + 1)] ws from f),
-        a as (select entity, ws, list_filter(ws, lambda x: x not in ({_ART})) kept from b)
-        select entity, array_to_string(case when len(kept) > 0 then kept else ws end, ' ') as key, lower(trim(entity, ' ')) in ({_POINT}) as pointing from a""",
+    "entity_keys": f"with names as (select distinct entity from facts where entity is not null), {w.entity_keys('names')} select entity, key, lower(trim(entity, ' ')) in ({_POINT}) as pointing from entity_keys",
     "entity_initials": "with e as (select distinct entity_key from facts where entity_key <> '') select entity_key, array_to_string(list_concat(list_transform(string_split(entity_key, ' ')[:-2], lambda x: x[1]), string_split(entity_key, ' ')[-1:]), ' ') as initials from e",
     "measure_tokens": f"with m as (select distinct measure_raw from facts where measure_raw is not null), t as (select measure_raw, {_TOKENS} t from m) select measure_raw, array_to_string(t, ' ') as tokens, array_to_string(list_sort(list_filter(t, lambda x: x in ({_MARKS}))), ' ') as markers, case when len(t) > 0 then array_to_string(t, '_') else 'unnamed' end as slug from t",
     "token_frequency": f"with t as (select unnest({_TOKENS}) as token from facts where measure_raw is not null) select token, count(*) as df from t group by 1",
-    "measure_similarity": f"""with s as (select t, count(*) n from (select {_TOKENS} t from facts where measure_raw is not null) where len(t) > 0 group by 1), obs as (select sum(n) as o from (select count(*) n from (select {_TOKENS} t from facts where measure_raw is not null) where len(t) > 0)),
-        d as (select token, sum(n) df from (select unnest(t) token, n from s) group by 1), w as (select token, greatest(0.15, ln((o + 1)::double / (df + 1)::double) + 1) w from d, obs),
-        m as (select array_to_string(t, '_') s, t, list_sort(list_filter(t, lambda x: x in ({_MARKS}))) k, (select sum(w) from w where list_contains(t, token)) mass from s),
-        p as (select a.s a, b.s b, a.mass ma, b.mass mb, (select sum(w) from w where list_contains(a.t, token) and list_contains(b.t, token)) sh from m a join m b on a.s < b.s and a.k = b.k and list_has_any(a.t, b.t)),
-        q as (select a, b, greatest(sh / (ma + mb - sh), 0.85 * sh / least(ma, mb)) v from p) select a, b, round(v, 6) as similarity from q where v >= 0.68""",
+    "measure_similarity": f"with recursive {_ALIKE} select a, kind_a, b, kind_b, round(v, 6) as similarity from alike",
+    # Groups of one kind first; a group without a kind then joins the likest group of another kind.
+    "registry_batch": f"""with recursive {_ALIKE}, nodes as (select measure_raw, coalesce(quantity.kind, 'other') kind, case when len({_TOKENS}) > 0 then array_to_string({_TOKENS}, '_') else 'unnamed' end s, count(*) n from facts where measure_raw is not null group by all
+            union all select null, coalesce(quantity.kind, 'other'), 'unnamed', count(*) from facts where measure_raw is null group by all),
+        ids as (select distinct s || chr(31) || kind as node from nodes), e as (select a || chr(31) || kind_a x, b || chr(31) || kind_b y, v from alike where kind_a = kind_b),
+        reach as (select node, node as other from ids union select r.node, case when e.x = r.other then e.y else e.x end from reach r join e on r.other in (e.x, e.y)),
+        labels as (select node, min(other) as label from reach group by 1), weight as (select label, sum(n) n from nodes join labels on node = s || chr(31) || kind group by 1),
+        across as (select case when kind_a = 'other' then a || chr(31) || kind_a else b || chr(31) || kind_b end node, case when kind_a = 'other' then b || chr(31) || kind_b else a || chr(31) || kind_a end other, v from alike where kind_a <> kind_b),
+        placed as (select l.label, t.label target, v, w.n from across join labels l using (node) join labels t on t.node = across.other join weight w on w.label = t.label),
+        best as (select label, arg_min(target, (-round(v, 9), -n, target)) target from placed group by 1),
+        final as (select node, coalesce(target, label) as label from labels left join best using (label)), uses as (select split_part(label, chr(31), 1) s, count(distinct label) u from final group by 1)
+        select measure_raw, kind, 'm_' || u.s || case when u > 1 then '_' || split_part(f.label, chr(31), 2) else '' end as measure_key from nodes n join final f on f.node = n.s || chr(31) || n.kind join uses u on u.s = split_part(f.label, chr(31), 1)""",
     "block_offsets": f"with {_BLOCKS}, o as (select *, (coalesce(sum(length(text) + 1) over (partition by doc_id, page order by idx rows between unbounded preceding and 1 preceding), 0))::int as char_start from blocks) select doc_id, page, idx::int as idx, char_start, (char_start + length(text))::int as char_end from o",
-    "density_score": rf"""with {_BLOCKS}, s as (select *, length(trim(text, ' ')) n, length(regexp_replace(text, '[^0-9]', '', 'g')) d, len(regexp_extract_all(lower(text), '\b(?:{text.DENSE_WORDS})\b')) k from blocks),
-        v as (select *, 0.55::double * least(1.0::double, 6.0::double * d / n) + 0.45::double * least(1.0::double, k / 6.0::double) sc from s)
-        select doc_id, page, idx::int as idx, case when n > 0 then round_even(least(1.0::double, greatest(0.0::double, case when n < 60 then sc * 0.4::double else sc end)) * 10000, 0) / 10000 else 0.0 end as density from v""",
+    "density_score": f"with {_BLOCKS} select doc_id, page, idx::int as idx, {w.density('text')} as density from blocks",
     "clean_text": r"""select doc_id, page, regexp_replace(regexp_replace(translate(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '‘’“”' || chr(173) || chr(8203), chr(39) || chr(39) || chr(34) || chr(34)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') as clean from doc_pages""",
-    "ground_exact": "select e.evidence_id, case when pos > 0 then (pos - 1)::int end as char_start, case when pos > 0 then (pos - 1 + length(trim(quote, ' ')))::int end as char_end from (select e.*, case when length(trim(e.quote, ' ')) >= 8 then strpos(p.text, trim(e.quote, ' ')) else 0 end as pos from evidence e left join doc_pages p on e.doc_id = p.doc_id and e.page = p.page) e",
+    "ground_exact": f"select e.evidence_id, case when pos > 0 then (pos - 1)::int end as char_start, case when pos > 0 then (pos - 1 + length(q))::int end as char_end from (select e.evidence_id, {w.trimmed('e.quote')} q, case when length({w.trimmed('e.quote')}) >= 8 then strpos(p.text, {w.trimmed('e.quote')}) else 0 end as pos from evidence e left join doc_pages p on e.doc_id = p.doc_id and e.page = p.page) e",
     "contains_value": r"with f as (select id, arg_max(quantity.raw, extracted_at) raw from facts group by 1), d as (select evidence_id, regexp_replace(coalesce(quote, ''), '[^0-9]', '', 'g') q, regexp_replace(coalesce(raw, ''), '[^0-9]', '', 'g') r from evidence join f on fact_id = id) select evidence_id, r = '' or contains(q, r) as held from d",
     "relation_ids": "select distinct 'r_' || substr(sha1(least(a_id, b_id) || '|' || greatest(a_id, b_id)), 1, 16) as id, a_id, b_id from relations where a_id is not null and b_id is not null",
     "document_dedupe": "select sha256(text) as sha256, min(doc_id) as doc_id from documents group by 1",
     "documents_new": "select count(distinct text) as n from documents where text is not null and text not in (select text from documents where lang = 'en' and text is not null)",
     "period_overlaps": """with s as (select distinct fy_end_month m, (make_date(2024, fy_end_month, 1) - interval 11 month)::date f, last_day(make_date(2024, fy_end_month, 1)) t from sources)
         select a.m as m1, b.m as m2, a.f <= b.t and b.f <= a.t as overlaps, a.f = b.f and a.t = b.t as same from s a join s b on a.m < b.m""",
-    "budget_cap": rf"""with {_BLOCKS}, s as (select *, length(trim(text, ' ')) n, length(regexp_replace(text, '[^0-9]', '', 'g')) d, len(regexp_extract_all(lower(text), '\b(?:{text.DENSE_WORDS})\b')) k from blocks),
-        v as (select *, 0.55::double * least(1.0::double, 6.0::double * d / n) + 0.45::double * least(1.0::double, k / 6.0::double) sc from s),
-        p as (select doc_id, page as batch, max(case when n > 0 then round_even(least(1.0::double, greatest(0.0::double, case when n < 60 then sc * 0.4::double else sc end)) * 10000, 0) / 10000 else 0.0 end) density from v group by 1, 2)
+    "budget_cap": f"""with {_BLOCKS}, p as (select doc_id, page as batch, max({w.density('text')}) density from blocks group by 1, 2)
         select doc_id, batch, row_number() over (partition by doc_id order by density desc, batch) as rank from p qualify rank <= 2""",
 }
 
-_CODES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in units.CURRENCY_CODES.items()) + "}"
 SQL |= {
-    # Letters are doubled apart first, because this engine's patterns cannot look behind.
-    "detect_currency": rf"""with {_RAWS}, t as (select raw, ' ' || regexp_replace(lower(right(raw, 40)), '([^a-z])', '\1\1', 'g') || ' ' s from raws),
-        f as (select raw, regexp_extract_all(s, '(us\$|[₹$€£¥]|[^a-z](?:rs\.?|inr|usd|eur|gbp|jpy|aed|sgd|cny|rmb)[^a-z])', 1) h from t)
-        select raw, {_CODES}[case when regexp_matches(h[-1], '[a-z]') and not contains(h[-1], '$') then regexp_replace(regexp_replace(h[-1], '^[^a-z]', ''), '[^a-z]+$', '') else h[-1] end] as currency from f""",
+    "detect_currency": f"with {_RAWS} select raw, {w.currency('right(raw, 40)', -1)} as currency from raws",
     "json_loose": "select doc_id, page, count(*)::int as n from evidence join (select distinct id from facts) f on fact_id = f.id group by 1, 2",
-    "block_kinds": rf"""with {_BLOCKS}, t as (select text, trim(text, ' ') s from blocks),
-        m as (select text, s, len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) w, length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) l, length(regexp_replace(s, '[^\p{{Lu}}]', '', 'g')) u,
-            list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') ls from t),
-        h as (select *, s <> '' and length(s) <= 120 and not regexp_matches(s, '[.;,]$') and w <= 14 and l > 0 and (u > l * 0.6 or regexp_matches(s, '^(?:[\dIVX]+[.)]?\s+)?\p{{Lu}}[^\s]*(?:\s+(?:\p{{Lu}}[^\s]*|of|the|and|in|for|to|on|a|an|with|by|&|-|\d[^\s]*))*$')) heading,
-            len(ls) >= 2 and (len(list_filter(ls, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3)) >= greatest(2.0, len(ls) * 0.5) or len(list_filter(ls, lambda x: regexp_matches(x, '\S\s{{2,}}\S'))) >= greatest(2.0, len(ls) * 0.6)) tabular from m)
-        select case when heading then 'heading' when tabular then 'table' else 'prose' end as kind, count(*) as n from h group by 1""",
-    "unit_stats": rf"""with {_BLOCKS}, s as (select *, length(trim(text, ' ')) n, length(regexp_replace(text, '[^0-9]', '', 'g')) d, len(regexp_extract_all(lower(text), '\b(?:{text.DENSE_WORDS})\b')) k from blocks),
-        v as (select *, 0.55::double * least(1.0::double, 6.0::double * d / n) + 0.45::double * least(1.0::double, k / 6.0::double) sc from s),
-        p as (select doc_id, page, max(case when n > 0 then round_even(least(1.0::double, greatest(0.0::double, case when n < 60 then sc * 0.4::double else sc end)) * 10000, 0) / 10000 else 0.0 end) density, (sum(length(text) + 1) - 1)::bigint chars from v group by 1, 2),
+    "block_kinds": f"with {_BLOCKS} select case when {w.heading('text')} then 'heading' when {w.tabular('text')} then 'table' else 'prose' end as kind, count(*) as n from blocks group by 1",
+    "unit_stats": rf"""with {_BLOCKS},
+        p as (select doc_id, page, max({w.density('text')}) density, (sum(length(text) + 1) - 1)::bigint chars from blocks group by 1, 2),
         o as (select *, row_number() over (partition by doc_id order by page) i from p where density >= 0.12),
         b as (with recursive walk as (
             select doc_id, i, chars, density, chars as size, 1 as pages, 0 as batch from o where i = 1
@@ -346,22 +357,18 @@ SQL |= {
                 case when w.size + o.chars > 16000 or w.pages >= 10 then w.batch + 1 else w.batch end from walk w join o on o.doc_id = w.doc_id and o.i = w.i + 1)
             select doc_id, batch, sum(chars) chars, max(density) density from walk group by 1, 2)
         select count(*) as n_units, sum(chars)::bigint as n_chars, round(avg(chars), 1) as mean_chars, round(avg(density), 3) as mean_density from b""",
-    "running_heading": rf"""with {_BLOCKS}, t as (select *, trim(text, ' ') s from blocks),
-        m as (select *, len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) w, length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) l, length(regexp_replace(s, '[^\p{{Lu}}]', '', 'g')) u from t),
-        h as (select *, case when s <> '' and length(s) <= 120 and not regexp_matches(s, '[.;,]$') and w <= 14 and l > 0 and (u > l * 0.6 or regexp_matches(s, '^(?:[\dIVX]+[.)]?\s+)?\p{{Lu}}[^\s]*(?:\s+(?:\p{{Lu}}[^\s]*|of|the|and|in|for|to|on|a|an|with|by|&|-|\d[^\s]*))*$')) then s end head from m)
+    "running_heading": f"""with {_BLOCKS}, h as (select *, case when {w.heading('text')} then {w.trimmed('text')} end head from blocks)
         select doc_id, page, idx::int as idx, coalesce(last_value(head ignore nulls) over (partition by doc_id, page order by idx rows between unbounded preceding and current row), '') as section from h""",
 }
 
-_MONTH_MAP = "map {" + ", ".join(f"'{k}': {v}" for k, v in periods._MONTHS.items()) + "}"
-_VOTES = " union all ".join(f"select doc_id, {_MONTH_MAP}[lower(unnest(regexp_extract_all(text, '{p}', 1)))] as m, {w}::double as w from documents where text is not null" for p, w in periods.FISCAL_HINTS)
-_PAGE_DENSITY = rf"""{_BLOCKS}, s as (select *, length(trim(text, ' ')) n, length(regexp_replace(text, '[^0-9]', '', 'g')) d, len(regexp_extract_all(lower(text), '\b(?:{text.DENSE_WORDS})\b')) k from blocks),
-        v as (select *, 0.55::double * least(1.0::double, 6.0::double * d / n) + 0.45::double * least(1.0::double, k / 6.0::double) sc from s),
-        p as (select doc_id, page, max(case when n > 0 then round_even(least(1.0::double, greatest(0.0::double, case when n < 60 then sc * 0.4::double else sc end)) * 10000, 0) / 10000 else 0.0 end) density, (sum(length(text) + 1) - 1)::bigint chars from v group by 1, 2)"""
+_VOTES = " union all ".join(f"select doc_id, {w.MONTH_MAP}[lower(unnest(regexp_extract_all(text, '{w.hint(pattern)}', 1)))] as m, {weight}::double as w from documents where text is not null" for pattern, weight in w.HINTS)
+_PAGE_DENSITY = f"{_BLOCKS}, p as (select doc_id, page, max({w.density('text')}) density, (sum(length(text) + 1) - 1)::bigint chars from blocks group by 1, 2)"
 SQL |= {
     "fy_end_vote": f"""with votes as ({_VOTES}), sums as (select doc_id, m, sum(w) s from votes group by 1, 2),
         best as (select doc_id, list(struct_pack(s := s, n := -m) order by s desc, -m desc) t from sums group by 1)
         select d.doc_id, case when t[1].s > 0 and t[1].s >= 1.25 * coalesce(t[2].s, 0) then -t[1].n end as month from documents d left join best using (doc_id)""",
-    "page_hints": rf"select doc_id, page, nullif(regexp_extract(text, '(?i)((?:us\$|[₹$€£¥]|\b(?:rs\.?|inr|usd|eur|gbp|jpy|aed|sgd|cny|rmb)\b)\s*(?:in\s+)?(?:{_SCALE_WORDS})\b)', 1), '') as hint from doc_pages",
+    # Letters before a code are consumed and cut off again, because this engine's patterns cannot look behind.
+    "page_hints": rf"select doc_id, page, nullif(regexp_replace(regexp_extract(text, '(?i)((?:^|[^a-z(\s])?\(?{w.BLANK}*(?:₹|\$|€|£|(?:^|[^a-z])(?:rs\.?|inr|usd)){w.BLANK}*(?:in{w.BLANK}+)?(?:hundred|thousand|lakhs?|millions?|crores?|billions?){w.BLANK}*\)?)', 1), 'x', 'x'), '') as hint from doc_pages",
     "pack_batches": f"""with {_PAGE_DENSITY}, o as (select *, row_number() over (partition by doc_id order by page) i from p),
         walk as (with recursive w as (
             select doc_id, i, page, chars, density, chars as size, 1 as n, 0 as batch from o where i = 1
@@ -372,4 +379,37 @@ SQL |= {
             case when count(distinct magnitude_hint) <= 1 and count(magnitude_hint) in (0, count(*)) then max(magnitude_hint) end as magnitude_hint,
             case when count(distinct unit_hint) <= 1 and count(unit_hint) in (0, count(*)) then max(unit_hint) end as unit_hint
         from walk w left join doc_pages d on w.doc_id = d.doc_id and w.page = d.page group by 1, 2""",
+    "published_dates": rf"""with f as (select doc_id, published, list_zip(regexp_extract_all(t, '{w.DATE}', 1), regexp_extract_all(t, '{w.DATE}', 2), regexp_extract_all(t, '{w.DATE}', 3), regexp_extract_all(t, '{w.DATE}', 4)) h from (select doc_id, published, left(text, 4000) t from documents))
+        select doc_id, coalesce(list_max(list_transform(h, lambda x: try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', x[4]::int, {w.MONTH_MAP}[lower(x[2])], least(28, coalesce(nullif(x[1], ''), nullif(x[3], ''), '1')::int)) as date))), published) as published from f""",
+    "parse_period": f"""with src as (select distinct period.raw as raw, fy_end_month from facts join documents using (doc_id) join sources using (source) where period.raw is not null and fy_end_month is not null), {w.periods('src')}
+        select s.raw, s.fy_end_month, p_kind as kind, p_start as start, p_end as "end", p_label as label from src s left join read r on s.raw = r.raw and s.fy_end_month = r.fy_end_month""",
+    "format_compact": f"select id, extracted_at, {w.compact('canonical_value')} as short from facts where canonical_value is not null",
+    "build_quantity": f"""with src as (select distinct quantity.raw as raw, header as unit_hint, {w.magnitude('header')} as magnitude_hint from facts where quantity.raw is not null), {w.quantities('src')}
+        select raw, unit_hint as header, kind, canonical_unit, canonical_value, magnitude, approximate from quantities""",
+    "ground_blanks": f"""with g as ({w.GROUNDED}) select evidence_id, how, case how when 'exact' then 1.0::double when 'whitespace' then 0.99::double end as ratio from g""",
 }
+_CHECKED = f"""f as (select * from facts qualify row_number() over (partition by id order by extracted_at desc) = 1), g as ({w.GROUNDED}),
+    c0 as (select g.evidence_id, g.doc_id, g.page, g.q, g.how, row_number() over (partition by g.doc_id, g.page order by g.evidence_id) - 1 as seq, f.*exclude (id, doc_id, page), p.magnitude_hint, p.unit_hint, d.published, s.publisher, coalesce(s.fy_end_month, 3) fy
+        from g join f on g.fact_id = f.id left join doc_pages p on p.doc_id = g.doc_id and p.page = g.page left join documents d on d.doc_id = g.doc_id left join sources s on s.source = d.source),
+    c as (select *, nullif({w.trimmed('measure_raw')}, '') m, nullif({w.trimmed('entity')}, '') subject, nullif({w.trimmed('quantity.raw')}, '') raw, nullif({w.trimmed('value_text')}, '') vt from c0),
+    src as (select distinct raw, unit_hint, magnitude_hint from c where raw is not null), {w.quantities('src')},
+    who as (select *, case when subject is null or lower(trim(subject, ' ')) in ({_POINT}) then coalesce(nullif({w.trimmed('publisher')}, ''), subject) else subject end who from c),
+    checked as (select who.doc_id || '/' || who.page || '/' || seq as uid, who.*, q.kind, q.canonical_unit, q.canonical_value, q.magnitude, q.v,
+        case when q is null then 'missing_quote' when how is null then 'ungrounded_quote' when m is null then 'missing_measure' when who is null then 'missing_subject'
+             when who.raw is not null and regexp_replace(who.raw, '[^0-9]', '', 'g') <> '' and not contains(regexp_replace(who.q, '[^0-9]', '', 'g'), regexp_replace(who.raw, '[^0-9]', '', 'g')) then 'value_not_in_quote'
+             when who.raw is not null and q.v is null then 'unparseable_value' when who.raw is null and vt is null then 'empty_value' end as failure,
+        case when lower(fact_type) in ('numeric', 'state', 'event', 'attribute') then lower(fact_type) else 'numeric' end ft,
+        case when lower(estimate_type) in ('actual', 'provisional', 'revised', 'advance_estimate', 'projection', 'target', 'unknown') then lower(estimate_type) else 'unknown' end est,
+        round_even(least(1.0::double, greatest(0.0::double, coalesce(who.confidence, 0.6::double))), 3) conf
+        from who left join quantities q on q.raw = who.raw and q.unit_hint is not distinct from who.unit_hint and q.magnitude_hint is not distinct from who.magnitude_hint)"""
+SQL |= {
+    "claims_validate": f"""with {_CHECKED} select uid, failure, ft as fact_type, m as measure_raw, who as entity, est as estimate_type, conf as confidence, page, how as match_method, published as as_of,
+        coalesce(magnitude_hint <> 0 and magnitude = magnitude_hint, false) as scale_note_applied from checked""",
+    "failure_summary": f"with {_CHECKED} select failure as kind, count(*) as n from checked where failure is not null group by 1",
+    "claims_facts": f"""with {_CHECKED}, said as (select distinct period.raw as raw, fy as fy_end_month from c where period.raw is not null), {w.periods('said')},
+        names as (select distinct who as entity from checked where who is not null), {w.entity_keys('names')},
+        ok as (select k.*, p_raw, p_label, e.key, list_sort(list_distinct(list_transform(list_filter(coalesce(basis, []), lambda x: {w.trimmed('x')} <> ''), lambda x: regexp_replace(lower({w.trimmed('x')}), '^[ .;]+|[ .;]+$', '', 'g')))) bs
+            from checked k left join read r on r.raw = k.period.raw and r.fy_end_month = k.fy left join entity_keys e on e.entity = who where failure is null)
+        select doc_id, page, m as measure_raw, key as entity_key, kind, canonical_unit as unit, canonical_value as value, p_label as period, array_to_string(bs, ',') as basis, regexp_replace(q, '{w.BLANK}+', ' ', 'g') as quote, conf as confidence
+        from ok qualify row_number() over (partition by doc_id, page, lower(trim(m, ' ')), lower(trim(who, ' ')), coalesce(p_raw, ''), v, coalesce(raw, vt, ''), array_to_string(bs, ',') order by conf desc nulls last, seq) = 1""",
+}

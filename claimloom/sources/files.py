@@ -83,8 +83,8 @@ def pages_of(blocks: DataFrame) -> DataFrame:
 
 
 def document_rows(pages: DataFrame, meta: DataFrame) -> DataFrame:
-    """Title and date of each document from its first pages and the metadata table (doc_id, title, filename, created,
-    largest)."""
+    """Title and date of each document from its first pages and the metadata table (doc_id, title, filename, created and
+    ``largest``, the largest line of each of the first four pages)."""
     first = pages.where("page <= 3").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("head"))
     joined = meta.join(first, "doc_id", "left")
     return joined.select("doc_id", guess_title(F.col("title"), F.col("largest"), F.col("head"), F.col("filename")).alias("title"), published_date(F.col("head"), pdf_date(F.col("created"))).alias("published"))

@@ -27,7 +27,7 @@ def process(batch: DataFrame, store: Store, pages: DataFrame, meta: DataFrame, m
     if (old := store.read("facts")) is not None:
         facts = facts.join(old.select("id"), "id", "left_anti")
     facts, facts_path = materialise(facts, "facts")
-    keys = registry.assign_sequential(facts, known, ["doc_id", "uid"])
+    keys = registry.assign_names(facts, known, ["doc_id", "uid"])
     stored = facts.join(keys, "id").drop("uid", "seq")
     spark = batch.sparkSession
     store.write("registry", spark.createDataFrame([(json.dumps(known.to_dict()),)], "payload string").coalesce(1))
