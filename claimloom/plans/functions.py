@@ -389,7 +389,7 @@ SQL |= {
     "ground_blanks": f"""with g as ({w.GROUNDED}) select evidence_id, how, case how when 'exact' then 1.0::double when 'whitespace' then 0.99::double end as ratio from g""",
 }
 _CHECKED = f"""f as (select * from facts qualify row_number() over (partition by id order by extracted_at desc) = 1), g as ({w.GROUNDED}),
-    c0 as (select g.evidence_id, g.doc_id, g.page, g.q, g.how, row_number() over (partition by g.doc_id, g.page order by g.evidence_id) - 1 as seq, f.*exclude (id, doc_id, page), p.magnitude_hint, p.unit_hint, d.published, s.publisher, coalesce(s.fy_end_month, 3) fy
+    c0 as (select g.evidence_id, g.doc_id, g.page, g.q, g.how, row_number() over (partition by g.doc_id, g.page order by g.evidence_id) - 1 as seq, f.*exclude (id, doc_id, page, canonical_value, canonical_unit), p.magnitude_hint, p.unit_hint, d.published, s.publisher, coalesce(s.fy_end_month, 3) fy
         from g join f on g.fact_id = f.id left join doc_pages p on p.doc_id = g.doc_id and p.page = g.page left join documents d on d.doc_id = g.doc_id left join sources s on s.source = d.source),
     c as (select *, nullif({w.trimmed('measure_raw')}, '') m, nullif({w.trimmed('entity')}, '') subject, nullif({w.trimmed('quantity.raw')}, '') raw, nullif({w.trimmed('value_text')}, '') vt from c0),
     src as (select distinct raw, unit_hint, magnitude_hint from c where raw is not null), {w.quantities('src')},

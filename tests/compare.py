@@ -32,7 +32,7 @@ def compare(spark, con, name, query, sql, sf_dir):
     cur = con.execute(sql)
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     same = sorted(df.columns) == sorted(d[0] for d in cur.description) and got == want
-    detail = "" if same else f"columns {sorted(df.columns)} / {sorted(d[0] for d in cur.description)}; only here {[r for r in got if r not in set(want)][:3]}; only there {[r for r in want if r not in set(got)][:3]}"
+    detail = "" if same else f"columns {sorted(df.columns)} / {sorted(d[0] for d in cur.description)}; only here {len(set(got) - set(want))}: {sorted(set(got) - set(want))[:2]}; only there {sorted(set(want) - set(got))[:2]}"
     return same, len(got), len(want), detail
 
 
@@ -62,7 +62,7 @@ if __name__ == "__main__":
         try:
             if name in sqls:
                 same, n, m, detail = compare(spark, con, name, query, sqls[name], sf_dir)
-                print("ok  " if same else "DIFF", name, n, m, round(time.time() - t, 1), detail[:900], flush=True)
+                print("ok  " if same else "DIFF", name, n, m, round(time.time() - t, 1), detail[:2400], flush=True)
             else:
                 print("rows", name, query(spark, sf_dir).count(), round(time.time() - t, 1), flush=True)
         except Exception as e:
