@@ -104,6 +104,6 @@ def format_compact(value: Column) -> Column:
 def significant(value: Column, digits: int) -> Column:
     """A number with so many significant digits and no trailing zeros."""
     places = F.lit(digits - 1) - F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-300)))).cast("int")
-    power = F.pow(F.lit(10.0), places)
-    rounded = F.when(value == 0, F.lit(0.0)).otherwise(F.rint(value * power) / power)
+    power = F.pow(F.lit(10.0), F.abs(places))
+    rounded = F.when(value == 0, F.lit(0.0)).when(places < 0, F.rint(value / power) * power).otherwise(F.rint(value * power) / power)
     return F.regexp_replace(F.regexp_replace(F.format_string("%.10f", rounded), r"(\.\d*?)0+$", "$1"), r"\.$", "")

@@ -119,13 +119,13 @@ def describe(f: Column) -> Column:
 FACT_FIELDS = ("id", "doc_id", "fact_type", "quantity", "value_text", "period", "basis", "estimate_type", "as_of", "page", "quote", "confidence")
 
 
-def adjudicate(pairs: DataFrame, a: str = "a", b: str = "b", keep_silent: bool = False) -> DataFrame:
+def adjudicate(pairs: DataFrame, a: str = "a", b: str = "b", keep_silent: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Relations of fact pairs held in two struct columns, one row per pair that earns one.
 
     First hit wins. Numeric pairs: a missing quantity, other units, agreement (with or without a shared period), label
     collision, other period, other basis, other firmness, later revision, one sentence, unknown period, and only then
     contradiction. Pairs of statements: overlap of words, supersession by date, little overlap; in between, and with a
-    blank text, they give no row (``keep_silent`` keeps them, with a null type). A fact paired with itself gives none.
+    blank text, they give no row (``keep_silent`` keeps them, with a null type). Columns named in ``carry`` go along. A fact paired with itself gives none.
     """
     fa, fb = F.col(a), F.col(b)
     base = pairs.where(fa["id"] != fb["id"]).withColumns(
@@ -173,5 +173,5 @@ def adjudicate(pairs: DataFrame, a: str = "a", b: str = "b", keep_silent: bool =
     says = F.concat(describe(fa), F.lit(" against "), describe(fb), F.when(v["comparable"], F.concat(F.lit("; apart by "), significant(v["delta"], 4), F.lit(" where "), significant(v["tolerance"], 4), F.lit(" is allowed"))).otherwise(""))
     return judged.select(
         relation_id(fa["id"], fb["id"]).alias("id"), fa["id"].alias("a_id"), fb["id"].alias("b_id"), F.col("__r.type").alias("type"), F.col("__r.reason_code").alias("reason_code"), conf.alias("confidence"), says.alias("explanation"),
-        F.struct(v.alias("values"), p.alias("periods"), basis.alias("basis"), w.alias("vintage"), F.bround(F.col("__o"), 3).alias("text_overlap")).alias("analysis"), F.lit("deterministic").alias("adjudicator"), (fa["doc_id"] != fb["doc_id"]).alias("cross_document"),
+        F.struct(v.alias("values"), p.alias("periods"), basis.alias("basis"), w.alias("vintage"), F.bround(F.col("__o"), 3).alias("text_overlap")).alias("analysis"), F.lit("deterministic").alias("adjudicator"), (fa["doc_id"] != fb["doc_id"]).alias("cross_document"), *carry,
     )

@@ -40,6 +40,14 @@ def _sided(facts: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
     return facts.select(*KEYS, F.struct(*fields).alias(name))
 
 
+def _inside(kept: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """All pairs inside blocks whose size is bounded: a block is gathered where the cap has ranked it already, so facts
+    are shuffled by their keys once, not once for each side of a join."""
+    gathered = kept.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("fs")).where(F.size("fs") > 1)
+    first = gathered.select(*KEYS, "fs", F.posexplode("fs").alias("i", "a"))
+    return first.select(*KEYS, "a", F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("b")).where("a.id < b.id")
+
+
 def candidate_pairs(facts: DataFrame, new_doc: int | None = None, cross_document_only: bool = False, max_block: int | None = MAX_BLOCK, fields: tuple[str, ...] = FACT_FIELDS) -> DataFrame:
     """All pairs ``a.id < b.id`` inside capped blocks, as two structs.
 
@@ -59,7 +67,7 @@ def candidate_pairs(facts: DataFrame, new_doc: int | None = None, cross_document
         first = F.col("x.id") < F.col("y.id")
         pairs = met.select(*KEYS, F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
         return pairs.where("a.doc_id <> b.doc_id") if cross_document_only else pairs
-    pairs = _sided(kept, "a", fields).join(_sided(kept, "b", fields), KEYS).where("a.id < b.id")
+    pairs = _sided(kept, "a", fields).join(_sided(kept, "b", fields), KEYS).where("a.id < b.id") if max_block is None else _inside(kept, fields)
     if new_doc is not None:
         pairs = pairs.where((F.col("a.doc_id") == new_doc) | (F.col("b.doc_id") == new_doc))
     if cross_document_only:
@@ -85,16 +93,25 @@ def link(facts: DataFrame, existing: DataFrame | None = None, **options) -> Data
 
 
 def link_report(facts: DataFrame, existing: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """One row of counters: blocks examined and oversized, pairs considered, skipped as known, relations written."""
+    """One row of counters: blocks examined and oversized, pairs considered, skipped as known, relations written, and
+    ``by_type``. The pairs are made and judged once."""
     sizes = blocks(facts.where("measure_key is not null and entity_key is not null"))
     counts = sizes.agg(F.count("*").alias("blocks_examined"), F.coalesce(F.sum((F.col("n") > max_block).cast("bigint")), F.lit(0)).alias("oversized_blocks"))
-    pairs = candidate_pairs(facts, max_block=max_block)
     known = existing.where("a_id is not null and b_id is not null").select(*pair_key(F.col("a_id"), F.col("b_id"))).distinct().withColumn("known", F.lit(True))
-    flagged = pairs.withColumns({"lo": F.col("a.id"), "hi": F.col("b.id")}).join(known, ["lo", "hi"], "left")
-    judged = adjudicate(flagged.where("known is null"))
-    considered = flagged.agg(F.count("*").alias("pairs_considered"), F.count("known").alias("pairs_skipped_existing"))
-    by_type = judged.groupBy("type").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("relations_written"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
-    return counts.crossJoin(considered).crossJoin(by_type)
+    flagged = candidate_pairs(facts, max_block=max_block).withColumns({"lo": F.col("a.id"), "hi": F.col("b.id")}).join(known, ["lo", "hi"], "left")
+    judged = adjudicate(flagged, keep_silent=True, carry=("known",)).groupBy("known", "type").agg(F.count("*").alias("n"))
+    fresh = F.col("known").isNull() & F.col("type").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    totals = judged.agg(
+        zero(F.sum("n")).alias("pairs_considered"), zero(F.sum(F.when(F.col("known"), F.col("n")))).alias("pairs_skipped_existing"), zero(F.sum(F.when(fresh, F.col("n")))).alias("relations_written"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(fresh, F.struct("type", "n"))))).alias("by_type"),
+    )
+    return counts.crossJoin(totals)
+
+
+def relink(facts: DataFrame, **options) -> DataFrame:
+    """Relations of all pairs as if none were known: what replaces the relations table after the ladder has changed."""
+    return link(facts, None, **options)
 
 
 def relation_rank(kind: Column) -> Column:

@@ -100,6 +100,12 @@ class Store:
         self._merge("failures", new, insert_new)
         return offered
 
+    def relink(self, **options) -> DataFrame:
+        """Judge every pair anew and put the result in the place of the relations table."""
+        from .linking import relink
+
+        return self.write("relations", relink(self.read("facts"), **options).withColumn("analysis", F.to_json("analysis")))
+
     def delete_document(self, doc_id) -> None:
         tables = {n: self.read(n) for n in ("documents", "facts", "relations", "failures")}
         for name, df in delete_cascade(tables, doc_id).items():
@@ -109,6 +115,13 @@ class Store:
         return self.read("documents").where(F.col("sha256") == sha)
 
 
-def new_documents(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """Incoming documents whose content is not known yet, each content once."""
-    return incoming.dropDuplicates(["sha256"]).join(known.select("sha256"), "sha256", "left_anti")
+def new_documents(incoming: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:
+    """Incoming documents whose content is not known yet, each content once; with ``force`` known contents as well, which
+    the caller deletes first (``known_copies`` names them)."""
+    each = incoming.dropDuplicates(["sha256"])
+    return each if force else each.join(known.select("sha256"), "sha256", "left_anti")
+
+
+def known_copies(incoming: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """Keys of known documents whose content comes in again: they are deleted before a forced ingest."""
+    return known.join(incoming.select("sha256").distinct(), "sha256", "left_semi").select(key)

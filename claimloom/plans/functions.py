@@ -331,7 +331,7 @@ SQL = {
         select measure_raw, kind, 'm_' || u.s || case when u > 1 then '_' || split_part(f.label, chr(31), 2) else '' end as measure_key from nodes n join final f on f.node = n.s || chr(31) || n.kind join uses u on u.s = split_part(f.label, chr(31), 1)""",
     "block_offsets": f"with {_BLOCKS}, o as (select *, (coalesce(sum(length(text) + 1) over (partition by doc_id, page order by idx rows between unbounded preceding and 1 preceding), 0))::int as char_start from blocks) select doc_id, page, idx::int as idx, char_start, (char_start + length(text))::int as char_end from o",
     "density_score": f"with {_BLOCKS} select doc_id, page, idx::int as idx, {w.density('text')} as density from blocks",
-    "clean_text": r"""select doc_id, page, regexp_replace(regexp_replace(translate(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '‘’“”' || chr(173) || chr(8203), chr(39) || chr(39) || chr(34) || chr(34)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') as clean from doc_pages""",
+    "clean_text": f"select doc_id, page, {w.clean('text')} as clean from doc_pages",
     "ground_exact": f"select e.evidence_id, case when pos > 0 then (pos - 1)::int end as char_start, case when pos > 0 then (pos - 1 + length(q))::int end as char_end from (select e.evidence_id, {w.trimmed('e.quote')} q, case when length({w.trimmed('e.quote')}) >= 8 then strpos(p.text, {w.trimmed('e.quote')}) else 0 end as pos from evidence e left join doc_pages p on e.doc_id = p.doc_id and e.page = p.page) e",
     "contains_value": r"with f as (select id, arg_max(quantity.raw, extracted_at) raw from facts group by 1), d as (select evidence_id, regexp_replace(coalesce(quote, ''), '[^0-9]', '', 'g') q, regexp_replace(coalesce(raw, ''), '[^0-9]', '', 'g') r from evidence join f on fact_id = id) select evidence_id, r = '' or contains(q, r) as held from d",
     "relation_ids": "select distinct 'r_' || substr(sha1(least(a_id, b_id) || '|' || greatest(a_id, b_id)), 1, 16) as id, a_id, b_id from relations where a_id is not null and b_id is not null",
@@ -388,6 +388,13 @@ SQL |= {
         select raw, unit_hint as header, kind, canonical_unit, canonical_value, magnitude, approximate from quantities""",
     "ground_blanks": f"""with g as ({w.GROUNDED}) select evidence_id, how, case how when 'exact' then 1.0::double when 'whitespace' then 0.99::double end as ratio from g""",
 }
+# Blocks without headings walked in order; a unit ends before the block that would make it too long, and its last block is carried on.
+_UNITS = f"""{_BLOCKS}, o as (select doc_id, page, {{'idx': idx, 'chars': length(text), 'density': {w.density('text')}}} x, row_number() over (partition by doc_id, page order by idx) i, count(*) over (partition by doc_id, page) n from blocks where not {w.heading('text')}),
+    walk as (select doc_id, page, i, n, [x] cur, [x][:0] done from o where i = 1
+        union all select o.doc_id, o.page, o.i, o.n, case when list_sum(list_transform(w.cur, lambda b: b.chars)) + x.chars > 600 then list_concat(w.cur[-1:], [x]) else list_append(w.cur, x) end,
+            case when list_sum(list_transform(w.cur, lambda b: b.chars)) + x.chars > 600 then w.cur else w.cur[:0] end from walk w join o on o.doc_id = w.doc_id and o.page = w.page and o.i = w.i + 1),
+    ended as (select doc_id, page, i, 0 z, done u from walk where len(done) > 0 union all select doc_id, page, i, 1, cur from walk where i = n),
+    units as (select doc_id, page, row_number() over (partition by doc_id order by page, i, z) - 1 as unit, u from ended)"""
 _CHECKED = f"""f as (select * from facts qualify row_number() over (partition by id order by extracted_at desc) = 1), g as ({w.GROUNDED}),
     c0 as (select g.evidence_id, g.doc_id, g.page, g.q, g.how, row_number() over (partition by g.doc_id, g.page order by g.evidence_id) - 1 as seq, f.*exclude (id, doc_id, page, canonical_value, canonical_unit), p.magnitude_hint, p.unit_hint, d.published, s.publisher, coalesce(s.fy_end_month, 3) fy
         from g join f on g.fact_id = f.id left join doc_pages p on p.doc_id = g.doc_id and p.page = g.page left join documents d on d.doc_id = g.doc_id left join sources s on s.source = d.source),
@@ -402,6 +409,7 @@ _CHECKED = f"""f as (select * from facts qualify row_number() over (partition by
         case when lower(estimate_type) in ('actual', 'provisional', 'revised', 'advance_estimate', 'projection', 'target', 'unknown') then lower(estimate_type) else 'unknown' end est,
         round_even(least(1.0::double, greatest(0.0::double, coalesce(who.confidence, 0.6::double))), 3) conf
         from who left join quantities q on q.raw = who.raw and q.unit_hint is not distinct from who.unit_hint and q.magnitude_hint is not distinct from who.magnitude_hint)"""
+SQL["pack_units"] = f"with recursive {_UNITS} select doc_id, page, unit::int as unit, array_to_string(list_transform(u, lambda b: b.idx), ',') as idxs, list_max(list_transform(u, lambda b: b.density)) as density from units"
 SQL |= {
     "claims_validate": f"""with {_CHECKED} select uid, failure, ft as fact_type, m as measure_raw, who as entity, est as estimate_type, conf as confidence, page, how as match_method, published as as_of,
         coalesce(magnitude_hint <> 0 and magnitude = magnitude_hint, false) as scale_note_applied from checked""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import adjudicate as adj
 from ..operators import linking, readings, registry, store, views
 from ..session import table
+from . import written as w
 
 
 def latest_facts(facts: DataFrame) -> DataFrame:
@@ -21,17 +22,28 @@ def _day(text: str) -> Column:
     return F.when(iso.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def facts_of(facts: DataFrame) -> DataFrame:
-    """The facts table in the shape the linker takes: windows are those given as plain ISO days, values as received.
+#: What the linker needs of a fact; other columns are cut off before the facts are shuffled by id.
+_NEEDED = ("id", "doc_id", "fact_type", "measure_key", "measure_raw", "entity", "entity_key", "quantity", "canonical_value", "canonical_unit", "value_text", "period", "period_start", "period_end", "basis", "estimate_type", "as_of", "page", "confidence", "extracted_at")
+_KEYED = ("id", "doc_id", "measure_key", "entity_key", "confidence", "extracted_at")
+
+
+def facts_of(facts: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """The facts table in the shape the linker takes: windows are those given as plain ISO days, values as received, the
+    quote that of the fact's first evidence.
 
     This is what the SQL states; ``readings.read_facts_of`` gives the windows and values of every notation."""
     q = F.col("quantity")
     approx = F.lower(q["raw"]).rlike(r"(about|approx|nearly|over|~)")
     quantity = F.when(q.isNotNull(), F.struct(q["raw"].alias("raw"), q["value"].alias("value"), q["unit"].alias("unit"), q["magnitude"].alias("magnitude"), q["kind"].alias("kind"), F.col("canonical_value"), F.col("canonical_unit"), F.coalesce(approx, F.lit(False)).alias("approximate")))
     period = F.when(F.col("period").isNotNull(), F.struct(F.col("period.raw").alias("raw"), F.col("period.kind").alias("kind"), _day("period_start").alias("start"), _day("period_end").alias("end"), F.lit(None).cast("string").alias("label")))
-    base = latest_facts(facts)
+    base = latest_facts(facts.select(*_NEEDED))
+    if evidence is None:
+        base = base.withColumn("quote", F.lit(None).cast("string"))
+    else:
+        quotes = evidence.where("quote is not null").groupBy(F.col("fact_id").alias("id")).agg(F.min_by("quote", "evidence_id").alias("quote"))
+        base = base.join(quotes, "id", "left")
     return base.select(
-        "id", "doc_id", "fact_type", "measure_key", "measure_raw", "entity", "entity_key", quantity.alias("quantity"), "value_text", period.alias("period"), "basis", "estimate_type", "as_of", "page", F.lit(None).cast("string").alias("quote"), "confidence"
+        "id", "doc_id", "fact_type", "measure_key", "measure_raw", "entity", "entity_key", quantity.alias("quantity"), "value_text", period.alias("period"), "basis", "estimate_type", "as_of", "page", "quote", "confidence"
     )
 
 
@@ -44,8 +56,8 @@ shaped as (
         case when regexp_matches(trim(period_start, ' '), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') then try_cast(trim(period_start, ' ') as date) end p_start,
         case when regexp_matches(trim(period_end, ' '), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') then try_cast(trim(period_end, ' ') as date) end p_end,
         list_sort(list_distinct(list_filter(list_transform(coalesce(basis, []), lambda x: lower(trim(x, ' '))), lambda x: x is not null and x <> ''))) bs,
-        coalesce(estimate_type, 'unknown') est, as_of, page, confidence
-    from latest),
+        coalesce(estimate_type, 'unknown') est, as_of, page, confidence, lower(trim(regexp_replace(quote, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ')) quote
+    from latest left join (select fact_id, arg_min(quote, evidence_id) quote from evidence where quote is not null group by 1) on fact_id = latest.id),
 ranked as (select *, row_number() over (partition by measure_key, entity_key order by confidence desc nulls last, id) as rank from shaped where measure_key is not null and entity_key is not null),
 kept as (select * from ranked where rank <= 120)"""
 
@@ -96,6 +108,7 @@ judged as (
         when basis_differs then 'reconciled|basis_mismatch'
         when est_differs then 'reconciled|estimate_vs_actual'
         when revised then 'reconciled|vintage_revision'
+        when a.doc_id = b.doc_id and a.page = b.page and a.quote <> '' and b.quote <> '' and (contains(a.quote, b.quote) or contains(b.quote, a.quote)) then 'undetermined|shared_sentence_ambiguity'
         when p_status = 'unknown' then 'undetermined|insufficient_context  '
         else 'contradicts|value_divergence' end verdict
     from compared),
@@ -112,6 +125,7 @@ relations_made as (
             when verdict = 'reconciled|basis_mismatch' then 0.75::double
             when verdict = 'reconciled|estimate_vs_actual' then 0.70::double
             when verdict = 'reconciled|vintage_revision' then 0.60::double
+            when verdict = 'undetermined|shared_sentence_ambiguity' then 0.45::double
             when verdict = 'undetermined|insufficient_context  ' then 0.40::double
             else 0.60::double + least(0.35::double, 2.0::double * rel) end)), 3) confidence,
         a.doc_id <> b.doc_id cross_document, p_status, overlap, rel
@@ -121,11 +135,27 @@ relations_made as (
 
 
 def _facts(spark, sf_dir):
-    return facts_of(table(spark, sf_dir, "facts"))
+    return facts_of(table(spark, sf_dir, "facts"), table(spark, sf_dir, "evidence"))
 
 
 def _pairs(spark, sf_dir, **options):
-    return linking.candidate_pairs(_facts(spark, sf_dir), **options)
+    return linking.candidate_pairs(facts_of(table(spark, sf_dir, "facts")), **options)
+
+
+def _relations(spark, sf_dir):
+    """Relations once per id, the row adjudicated first."""
+    r = table(spark, sf_dir, "relations")
+    kept = r.groupBy("id").agg(F.min_by(F.struct(*[c for c in r.columns if c != "id"]), F.struct("adjudicated_at", "type", "a_id")).alias("r"))
+    return kept.select("id", "r.*")
+
+
+def _keyed(spark, sf_dir):
+    """Keys alone, for queries about which facts meet."""
+    return latest_facts(table(spark, sf_dir, "facts").select(*_KEYED))
+
+
+def _id_pairs(spark, sf_dir, **options):
+    return linking.candidate_pairs(_keyed(spark, sf_dir), fields=("id", "doc_id"), **options)
 
 
 def relations_by_type(spark, sf_dir):
@@ -165,38 +195,39 @@ def compare_periods_read(spark, sf_dir):
 
 
 def link_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    return _id_pairs(spark, sf_dir).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
 def link_cap(spark, sf_dir):
-    return linking.capped(_facts(spark, sf_dir), 20).select("id", "measure_key", "entity_key", F.col("rank").cast("bigint").alias("rank"))
+    return linking.capped(_keyed(spark, sf_dir), 20).select("id", "measure_key", "entity_key", F.col("rank").cast("bigint").alias("rank"))
 
 
 def link_pairs_uncut(spark, sf_dir):
     """Pairs of whole blocks, without the linker's cap."""
-    return _pairs(spark, sf_dir, max_block=None).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    return _id_pairs(spark, sf_dir, max_block=None).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
 def link_oversized(spark, sf_dir):
-    return linking.oversized(_facts(spark, sf_dir))
+    return linking.oversized(_keyed(spark, sf_dir))
 
 
 def link_cross_doc(spark, sf_dir):
-    return _pairs(spark, sf_dir, cross_document_only=True).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    return _id_pairs(spark, sf_dir, cross_document_only=True).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
 def link_incremental(spark, sf_dir):
     """Pairs of the document that arrived last, by id."""
     newest = table(spark, sf_dir, "facts").agg(F.max("doc_id")).first()[0]
-    return _pairs(spark, sf_dir, new_doc=newest).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    return _id_pairs(spark, sf_dir, new_doc=newest).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
 def link_anti_existing(spark, sf_dir):
-    return linking.without_existing(_pairs(spark, sf_dir), table(spark, sf_dir, "relations")).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    return linking.without_existing(_id_pairs(spark, sf_dir), table(spark, sf_dir, "relations")).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
 def link_report(spark, sf_dir):
-    return linking.link_report(_facts(spark, sf_dir), table(spark, sf_dir, "relations")).drop("by_type")
+    report = linking.link_report(_facts(spark, sf_dir), table(spark, sf_dir, "relations"))
+    return report.withColumn("by_type", F.array_join(F.transform(F.map_entries("by_type"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
 
 
 def compare_values(spark, sf_dir):
@@ -215,8 +246,8 @@ def compare_basis(spark, sf_dir):
 
 
 def compare_vintage(spark, sf_dir):
-    w = adj.compare_vintage(F.col("a.estimate_type"), F.col("a.as_of"), F.col("b.estimate_type"), F.col("b.as_of"))
-    return _pairs(spark, sf_dir).groupBy(w["estimate_differs"].alias("estimate_differs"), w["revision_plausible"].alias("revision_plausible"), w["later_fact"].alias("later_fact")).agg(F.count("*").alias("n"))
+    v = adj.compare_vintage(F.col("a.estimate_type"), F.col("a.as_of"), F.col("b.estimate_type"), F.col("b.as_of"))
+    return _pairs(spark, sf_dir).groupBy(v["estimate_differs"].alias("estimate_differs"), v["revision_plausible"].alias("revision_plausible"), v["later_fact"].alias("later_fact")).agg(F.count("*").alias("n"))
 
 
 def text_overlap(spark, sf_dir):
@@ -237,11 +268,11 @@ def list_facts(spark, sf_dir):
 
 
 def relations_ranked(spark, sf_dir):
-    return linking.interesting(table(spark, sf_dir, "relations").dropDuplicates(["id"])).limit(200).select("id", "type", "confidence")
+    return linking.interesting(_relations(spark, sf_dir)).limit(200).select("id", "type", "confidence")
 
 
 def relation_with_facts(spark, sf_dir):
-    shown = views.with_facts(table(spark, sf_dir, "relations").dropDuplicates(["id"]), latest_facts(table(spark, sf_dir, "facts")))
+    shown = views.with_facts(_relations(spark, sf_dir), latest_facts(table(spark, sf_dir, "facts")))
     return shown.select("id", F.col("a.doc_id").alias("a_doc"), F.col("b.doc_id").alias("b_doc"), F.col("a.measure_raw").alias("a_measure"), F.col("b.measure_raw").alias("b_measure"))
 
 
@@ -254,7 +285,7 @@ def relation_counts(spark, sf_dir):
 
 
 def show_relations(spark, sf_dir):
-    return views.show(table(spark, sf_dir, "relations").dropDuplicates(["id"]), latest_facts(table(spark, sf_dir, "facts"))).select("verdict", "fact_a", "fact_b")
+    return views.show(_relations(spark, sf_dir), _facts(spark, sf_dir)).select("verdict", "fact_a", "quote_a", "fact_b", "quote_b")
 
 
 def layer_stats(spark, sf_dir):
@@ -306,12 +337,14 @@ _NAMES = (
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _RANK = "case type when 'contradicts' then 0 when 'reconciled' then 1 when 'supersedes' then 2 when 'corroborates' then 3 when 'related' then 4 when 'undetermined' then 5 else 6 end"
-_ONE_RELATION = "one as (select distinct on (id) * from relations)"
+_ONE_RELATION = "one as (select * from relations qualify row_number() over (partition by id order by adjudicated_at, type, a_id) = 1)"
 SQL = {
     "relations_by_type": f"with {PAIRS_SQL} select type, reason_code, count(*) as n from relations_made group by all",
     "adjudicate_pairs": f"with {PAIRS_SQL} select id, a_id, b_id, type, reason_code, confidence, cross_document from relations_made",
-    "adjudicate_state": f"with {PAIRS_SQL.replace('from latest),', "from latest where fact_type <> 'numeric' and quantity is null),", 1)} select a_id, b_id, type, reason_code, confidence from relations_made",
+    "adjudicate_state": f"with {PAIRS_SQL.replace('on fact_id = latest.id),', "on fact_id = latest.id where fact_type <> 'numeric' and quantity is null),", 1)} select a_id, b_id, type, reason_code, confidence from relations_made",
     "link_pairs": f"with {FACTS_SQL} select a.id a_id, b.id b_id from kept a join kept b on a.measure_key = b.measure_key and a.entity_key = b.entity_key and a.id < b.id",
+    "link_pairs_uncut": "with one as (select * from facts where measure_key is not null and entity_key is not null qualify row_number() over (partition by id order by extracted_at desc) = 1) select a.id a_id, b.id b_id from one a join one b on a.measure_key = b.measure_key and a.entity_key = b.entity_key and a.id < b.id",
+    "link_oversized": "select measure_key, entity_key, count(distinct id) as n, count(distinct id) - 120 as beyond from facts where measure_key is not null and entity_key is not null group by 1, 2 having count(distinct id) > 120",
     "link_cap": f"with {FACTS_SQL} select id, measure_key, entity_key, rank from ranked where rank <= 20",
     "link_cross_doc": f"with {FACTS_SQL} select a.id a_id, b.id b_id from kept a join kept b on a.measure_key = b.measure_key and a.entity_key = b.entity_key and a.id < b.id where a.doc_id <> b.doc_id",
     "link_incremental": f"with {FACTS_SQL} select a.id a_id, b.id b_id from kept a join kept b on a.measure_key = b.measure_key and a.entity_key = b.entity_key and a.id < b.id where (select max(doc_id) from facts) in (a.doc_id, b.doc_id)",
@@ -321,7 +354,8 @@ SQL = {
         known as (select distinct least(a_id, b_id) lo, greatest(a_id, b_id) hi from relations where a_id is not null and b_id is not null)
         select (select count(*) from sizes) as blocks_examined, (select count(*) from sizes where n > 120) as oversized_blocks, (select count(*) from pairs) as pairs_considered,
             (select count(*) from pairs join known on a.id = lo and b.id = hi) as pairs_skipped_existing,
-            (select count(*) from relations_made where not exists (select 1 from known where lo = a_id and hi = b_id)) as relations_written""",
+            (select count(*) from relations_made where not exists (select 1 from known where lo = a_id and hi = b_id)) as relations_written,
+            (select string_agg(type || '=' || n, ',' order by type) from (select type, count(*) n from relations_made where not exists (select 1 from known where lo = a_id and hi = b_id) group by 1)) as by_type""",
     "compare_values": f"with {PAIRS_SQL} select a.id a_id, b.id b_id, delta, tolerance, agree, delta = 0 as exact, converted from compared where comparable",
     "compare_periods": f"with {PAIRS_SQL} select p_status as status, meet as overlaps, count(*) as n from compared group by all",
     "compare_basis": f"with {PAIRS_SQL} select array_to_string(only_a, ',') as only_a, array_to_string(only_b, ',') as only_b, count(*) as n from compared group by all",
@@ -337,10 +371,10 @@ SQL = {
     "relation_with_facts": f"with {_ONE_RELATION}, latest as (select * from facts qualify row_number() over (partition by id order by extracted_at desc) = 1) select r.id, a.doc_id as a_doc, b.doc_id as b_doc, a.measure_raw as a_measure, b.measure_raw as b_measure from one r left join latest a on r.a_id = a.id left join latest b on r.b_id = b.id",
     "relations_cross_doc": "select id, type, confidence from relations where cross_document and type in ('contradicts', 'reconciled')",
     "relation_counts": "select type, count(*) as n from relations group by 1",
-    "show_relations": f"""with {_ONE_RELATION}, latest as (select * from facts qualify row_number() over (partition by id order by extracted_at desc) = 1),
+    "show_relations": rf"""with {_ONE_RELATION}, latest as (select * from facts left join (select fact_id, arg_min(quote, evidence_id) quote from evidence where quote is not null group by 1) on fact_id = id qualify row_number() over (partition by id order by extracted_at desc) = 1),
         top as (select * from one order by {_RANK}, confidence desc, id limit 20)
-        select upper(type) || ' / ' || reason_code as verdict, left(regexp_replace(concat_ws(' | ', a.entity, a.measure_raw, coalesce(a.quantity.raw, a.value_text)), '\\s+', ' ', 'g'), 200) as fact_a,
-            left(regexp_replace(concat_ws(' | ', b.entity, b.measure_raw, coalesce(b.quantity.raw, b.value_text)), '\\s+', ' ', 'g'), 200) as fact_b from top left join latest a on a_id = a.id left join latest b on b_id = b.id""",
+        select upper(type) || ' / ' || reason_code as verdict, left(regexp_replace(concat_ws(' | ', a.entity, a.measure_raw, coalesce(a.quantity.raw, a.value_text)), '{w.BLANK}+', ' ', 'g'), 200) as fact_a, left(regexp_replace(a.quote, '{w.BLANK}+', ' ', 'g'), 200) as quote_a,
+            left(regexp_replace(concat_ws(' | ', b.entity, b.measure_raw, coalesce(b.quantity.raw, b.value_text)), '{w.BLANK}+', ' ', 'g'), 200) as fact_b, left(regexp_replace(b.quote, '{w.BLANK}+', ' ', 'g'), 200) as quote_b from top left join latest a on a_id = a.id left join latest b on b_id = b.id""",
     "layer_stats": "select (select count(*) from documents) as documents, (select count(*) from facts) as facts, (select count(*) from relations) as relations, (select count(*) from evidence) as evidence",
     "measures_listing": "with forms as (select measure_key, measure_raw, count(*) n from facts where measure_key is not null group by all) select measure_key as key, arg_min(measure_raw, (-n, measure_raw)) as label, sum(n)::bigint as support, count(*) as forms from forms group by 1",
     "documents_list": "select doc_id, title, source, published, n_pages from documents",

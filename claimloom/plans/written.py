@@ -157,7 +157,8 @@ DATE = f"(?i)(?:\\b([0-9]{{1,2}}){BLANK}*|\\b)({FULL_MONTHS}){BLANK}+([0-9]{{1,2
 def significant(x: str, digits: int = 4) -> str:
     """A number in so many significant digits without trailing zeros."""
     places = f"({digits - 1} - floor(log10(greatest(abs({x}), 1e-300)))::int)"
-    rounded = f"(case when {x} = 0 then 0.0::double else round_even({x} * pow(10.0::double, {places}), 0) / pow(10.0::double, {places}) end)"
+    power = f"pow(10.0::double, abs({places}))"
+    rounded = f"(case when {x} = 0 then 0.0::double when {places} < 0 then round_even({x} / {power}, 0) * {power} else round_even({x} * {power}, 0) / {power} end)"
     return f"regexp_replace(regexp_replace(printf('%.10f', {rounded}), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
 
 
@@ -231,3 +232,19 @@ def entity_keys(source: str) -> str:
 GROUNDED = f"""select e.evidence_id, e.fact_id, e.doc_id, e.page, nullif({trimmed('e.quote')}, '') q,
         case when length({trimmed('e.quote')}) >= 8 then case when contains(p.text, {trimmed('e.quote')}) then 'exact' when contains(regexp_replace(p.text, '{BLANK}+', ' ', 'g'), regexp_replace({trimmed('e.quote')}, '{BLANK}+', ' ', 'g')) then 'whitespace' end end how
     from evidence e left join doc_pages p on e.doc_id = p.doc_id and e.page = p.page"""
+
+
+def clean(x: str) -> str:
+    return f"regexp_replace(regexp_replace(translate(replace(replace({x}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '‘’“”' || chr(173) || chr(8203), chr(39) || chr(39) || chr(34) || chr(34)), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def letters(x: str) -> str:
+    return f"length(regexp_replace({x}, '[^\\p{{L}}]', '', 'g'))"
+
+
+def generic(x: str) -> str:
+    """Whether a title says nothing."""
+    plain = f"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^a-z'' ]', ' ', 'g'), ' +', ' ', 'g'), ' ')"
+    # Furniture of cover pages.
+    listed = "'contents', 'table of contents', 'what''s inside', 'whats inside', 'index', 'annual report', 'introduction', 'overview', 'disclaimer', 'notice', 'about this report', 'highlights', 'appendix', 'glossary', 'abbreviations'"
+    return f"({plain} in ({listed}) or length({plain}) < 6)"
