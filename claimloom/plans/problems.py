@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import quantities, timestamps
 from ..session import table
 
@@ -22,4 +24,9 @@ def p5_review(spark, sf_dir):
     return quantities.settled(*_tables(spark, sf_dir))[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_review)}
+def p5_ways(spark, sf_dir):
+    """How many quantities of each kind came by each way: stated beside the figure, confirmed or predicted by the forest."""
+    return quantities.settled(*_tables(spark, sf_dir))[0].groupBy("kind", "way").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_review, p5_ways)}
