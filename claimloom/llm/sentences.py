@@ -31,10 +31,10 @@ TRAILING = _listed(
     "etc inc ltd co corp bros pvt plc llp llc cr mio mrd tsd usw a.m p.m u.s u.k h hrs min sec тыс руб млн млрд трлн д т.д т.п "
     "jan feb mar apr jun jul aug sep sept oct nov dec cont ibid al g.m.b.h s.a b.v n.v pty jr kg km"
 )
-# Those inside names of organisations, where another part of the name follows.
+# Those of trades and bodies inside names of organisations, where another part of the name follows.
 NAME_PARTS = frozenset(
-    "stl chem chems pharm pharma fds cmt mfg engg engr intl infra telecom tel ins fin ind inds ltg log agro ren rly rlys "
-    "const trans elec prod prods mktg tech svcs natl assn bldg".split()
+    "acad agr agri agro assn assoc auto bk bldg cem chem chems cmt comm const constr corpn devt dist distr elec elect electr eng engg engr eqpt exp fds fin fdn hldg hldgs hosp ind inds indus infra ins insur intl inv invest lab labs log "
+    "logist mach manuf mfg mfrs mgmt min mls mng mtls mktg natl petro pharm pharma pharmas pkg prod prods prop props pub pwr ren res rly rlys ry semicond serv shpg soc solns stl svc svcs sys tech tel telecom telecoms tex textl trans transm trd trdg univ util wks".split()
 )
 # Scales, and the currencies that follow them.
 SCALES = _listed("mio mrd tsd cr тыс млн млрд трлн mn bn")
@@ -216,12 +216,15 @@ def _closing(s: str, m: re.Match, follows: str, glued: bool) -> float:
     return 4.0 if not first.islower() or len(letters) > 3 else 3.3
 
 
-# Words that often open a sentence, in the languages met.
+# Function words that open sentences: articles, pronouns, prepositions, conjunctions, question words and forms
+# of "be", "do" and "see", of the languages with capitals.
 OPENERS = _listed(
-    "the a an it its in at on for of is was were if when why did do according orders receipts port wage household output "
-    "deposits import margins provisional audited see table footnote freight staff fees both ticket version rainfall prof "
-    "members credit der die das ein eine im am bei laut es in le la les un une en selon chez voir el los las según véase "
-    "¿por в на по как см"
+    "a an the this that these those it its he she they we i you his her their our my your there here in on at by for from of to with without under over between among during since until after before about against as if when while where why who what "
+    "which how although though because but and or so yet nor both either neither each every all some any no not is are was were be been do does did has have had can could may might must shall should will would according however moreover see note "
+    "der die das den dem des ein eine einer einem einen dieser diese dieses es er sie wir ihr im am in an auf bei mit nach von vor zu zum zur aus um für gegen ohne unter über zwischen seit während wegen als wenn weil dass ob doch aber und oder auch nicht kein keine laut wie was wer wo warum siehe "
+    "le la les l un une des du de ce cet cette ces il elle ils elles on nous vous son sa ses leur leurs en au aux dans par pour sur sous avec sans chez entre selon depuis pendant avant après contre si quand comme que qui où pourquoi mais et ou donc ni ne voir "
+    "el los las lo una unos unas este esta estos estas ese esa ello ella ellos su sus en al del por para con sin sobre bajo entre desde hasta según durante tras ante contra si cuando como que quien donde pero y o ni no se véase ¿por ¿qué ¿cuándo "
+    "в во на по к ко от до из за с со у о об при для без под над между через после перед это этот эта эти он она оно они мы вы его её их не ни но и или а что кто как где когда почему если чтобы также см"
 )
 
 
@@ -380,5 +383,6 @@ def sentences(documents: DataFrame) -> DataFrame:
             rows = [(d, x, y) for d, t in zip(b["doc_id"], b["text"], strict=True) for x, y in dict.fromkeys(sentence_spans(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "sent_start", "sent_end"])
 
-    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null").distinct()
-    return texts.mapInPandas(run, "doc_id bigint, sent_start int, sent_end int")
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    # Doubles are dropped among the narrow spans: the texts themselves are never shuffled.
+    return texts.mapInPandas(run, "doc_id bigint, sent_start int, sent_end int").distinct()
