@@ -73,13 +73,23 @@ def test_leaks(spark):
     docs, items = leak_tables(spark)
     want = {(d, i) for d in (1, 2, 6, 7) for i in (10, 11)}
     assert {tuple(r) for r in leaks.leaks(docs, items).collect()} == want
-    both = [{tuple(r) for r in leaks.leaked_spans(docs, items, max_items=m).collect()} for m in (100, 0)]
+    both = [{tuple(r) for r in leaks.leaked_spans(docs, items, max_windows=m, max_vocabulary=v).collect()} for m, v in ((10**6, 10**6), (3, 0))]
     assert both[0] == both[1]
     clean = {r.doc_id: r for r in leaks.without_leaks(docs, items).collect()}
     assert clean[1].text == "Intro.  End." and clean[3].removed_chars == 0 and clean[4].text is None
     assert leaks.leaks(docs, items.where("false")).count() == 0 and leaks.leaks(docs.where("false"), items).count() == 0
 
 
+def test_texts_of_one_id_are_not_mixed(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    docs = spark.createDataFrame([(1, " ".join(words[:8])), (1, "so then " + " ".join(words[3:12])), (1, " ".join(words[:8]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")
+    want = {(1, 7, 0, len(" ".join(words[:8]))), (1, 7, 8, 8 + len(" ".join(words[3:12])))}
+    for m, v in ((10**6, 10**6), (2, 0)):
+        assert {tuple(r) for r in leaks.leaked_spans(docs, items, max_windows=m, max_vocabulary=v).collect()} == want
+    assert sorted(r.text.strip() for r in leaks.without_leaks(docs, items).collect()) == ["", "", "so then"]
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "eval_items"))
     grams = {r.item_id: set(leaks.windows([w for w, _, _ in leaks.words_of(r.text)])) for r in items.collect()}
