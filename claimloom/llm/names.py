@@ -22,9 +22,10 @@ RADIUS = 2
 #: Lengths of the shorter string from which the join must reach further, so that every pair ``verdict`` can take is met:
 #: it takes ``_most`` edits with a swap as one, and a swap is two edits of the metric.
 REACH = ((14, 6), (7, 4))
-#: Heads a cell should hold, and the most pivots a class of names may have.
-CELL = 100
-MAX_PIVOTS = 256
+#: Strings from which a cell is split, the most pivots of one split, and the most levels of splits.
+CELL = 400
+FANOUT = 64
+LEVELS = 6
 #: Most pivots that are broadcast; a larger table is joined by shuffle.
 MAX_BROADCAST_PIVOTS = 100_000
 
@@ -34,23 +35,37 @@ LEGAL = {
     "limited": "ltd lmtd", "private": "pvt pte", "incorporated": "inc incorp", "corporation": "corp corpn", "company": "co comp", "holdings": "hldgs hldg holding",
     "gmbh": "", "llp": "", "llc": "", "plc": "", "sa": "", "nv": "", "bv": "", "ag": "", "group": "grp",
 }
-# Kinds of offices and what they deal with; words of business; short forms after each.
-OFFICES = {"ministry": "min", "department": "dept deptt dpt", "directorate": "dte dir", "institute": "inst", "board": "bd", "bureau": "", "authority": "auth", "commission": "comm", "council": "", "agency": ""}
+# Kinds of offices and what they deal with; words of business; short forms after each. The lists are general;
+# short forms that are the beginning of a word need no entry.
+OFFICES = {
+    "ministry": "min", "department": "dept deptt dpt", "directorate": "dte dir", "institute": "inst", "board": "bd", "bureau": "", "authority": "auth", "commission": "comm", "council": "", "agency": "",
+    "secretariat": "", "inspectorate": "", "tribunal": "", "registry": "",
+}
 BUSINESS = {
     "manufacturing": "mfg mfr manuf manufg", "industries": "ind inds industry", "power": "pwr", "metals": "mtls metal", "development": "dev devt dvlpt", "bank": "bk", "foods": "fds food", "mills": "mls",
     "mining": "mng min", "ports": "pts", "trading": "trdg trd", "transmission": "transm trans", "agro": "agr", "works": "wks", "shipping": "shpg ship", "textile": "tex textiles txt", "international": "intl int",
     "cement": "cmt cem", "railways": "rly rlys rlwys railway", "engineering": "eng engg engrg", "chemicals": "chem chems", "logistics": "logist logs log", "finance": "fin", "steel": "stl", "telecommunications": "telecom telecoms tel",
     "products": "prod prods", "renewables": "renew renewable ren", "infrastructure": "infra infrastr infrast", "pharmaceuticals": "pharm pharma pharmas", "insurance": "ins insur", "energy": "enrg",
+    "semiconductors": "semicond semiconductor semicon", "technologies": "techn technology", "systems": "syst", "services": "svcs svc", "solutions": "soln solns", "airlines": "airl airline", "automotive": "automot", "breweries": "brew brewery", "broadcasting": "bcast",
+    "construction": "constr", "consulting": "consult", "electronics": "electr electron", "entertainment": "entmt", "fertilisers": "fert fertilizers", "hospitals": "hosp hospital", "hotels": "hotel", "laboratories": "labs lab laboratory", "machinery": "mach",
+    "packaging": "pkg packg", "petroleum": "petrol petr", "plastics": "plast", "properties": "props", "publishing": "publ", "refineries": "refin refinery", "software": "softw", "transport": "transp", "investments": "invest invts", "securities": "secs",
+}
+SUBJECTS = {
+    "water": "wtr", "supply": "sup", "roads": "rds", "public": "pub", "health": "hlth", "census": "cens", "prices": "prc", "revenue": "rev", "credit": "cr", "rural": "rur", "fisheries": "fish fshrs", "statistics": "stats", "labour": "lab", "trade": "", "planning": "",
+    "defence": "defense", "education": "educ", "transport": "transp", "environment": "environ", "justice": "", "agriculture": "agric", "housing": "", "taxes": "tax", "customs": "", "forests": "forestry", "tourism": "", "culture": "", "research": "res",
 }
-SUBJECTS = {"water": "wtr", "supply": "sup", "roads": "rds", "public": "pub", "health": "hlth", "census": "cens", "prices": "prc", "revenue": "rev", "credit": "cr", "rural": "rur", "fisheries": "fish fshrs", "statistics": "stats", "labour": "lab", "trade": "", "planning": ""}
-# Given names with their short and foreign forms. A list is never whole: other given names get no short forms.
+# Given names with their short and foreign forms. A list is never whole: of other names, short forms that are
+# the beginning of the name are read as such.
 GIVEN = {
     "dorothy": "dolly dot dottie dorothea", "alexander": "alex sandy sasha aleksandr alec", "francisco": "pancho paco frank francesco cisco", "vijay": "bijoy wijay vijai veejay", "giuseppe": "beppe jino gino peppe gius", "robert": "bob robt rob bobby bert",
     "jose": "pepe joe", "mohammed": "mohd muhammad mohamed md mohammad", "susanna": "sue susie suzanna susan", "venkatesh": "venky venkat venkatesan", "ekaterina": "yekaterina katya caterina", "elizabeth": "liz beth betty eliza lizzie elisabeth",
     "theodore": "theo ted teddy", "johannes": "hans hannes jan johann johan", "william": "will bill wm billy", "natalia": "nataliya natasha natalya nathalie", "katherine": "catherine kate kathy kathryn katharine kitty", "margaret": "meg peggy maggie marge",
     "chandrashekhar": "chandru chandra shekhar chandrasekhar", "lakshmi": "laxmi lakshmy", "richard": "dick rick", "james": "jim jimmy", "john": "jack johnny", "michael": "mike", "thomas": "tom",
     "anthony": "tony antony", "andrew": "andy", "charles": "charlie chuck", "daniel": "danny", "frederick": "fred freddie", "gregory": "greg", "jennifer": "jenny", "joseph": "joey", "kenneth": "kenny", "lawrence": "larry laurence",
-    "matthew": "matt", "nicholas": "nick nicolas", "patricia": "patty", "peter": "pete pyotr", "philip": "phil phillip", "rebecca": "becky", "samuel": "sammy", "stephen": "steve steven", "victoria": "vicky", "dmitri": "dmitry dima", "sergei": "sergey",
+    "matthew": "matt", "nicholas": "nick nicolas", "patricia": "patty", "peter": "pete pyotr", "philip": "phil phillip", "rebecca": "becky", "samuel": "sammy", "stephen": "steve steven", "victoria": "vicky", "dmitri": "dmitry dima", "sergei": "sergey sergio serge",
+    "christopher": "chris topher", "edward": "eddie ned", "david": "dave", "benjamin": "benny", "timothy": "timmy", "donald": "donny", "gerald": "gerry", "walter": "wally", "harold": "harry", "henry": "hank", "ernest": "ernie", "jeffrey": "geoffrey geoff", "patrick": "paddy",
+    "deborah": "debbie", "judith": "judy", "cynthia": "cindy", "christine": "christina kristina", "jacqueline": "jackie", "theresa": "teresa", "virginia": "ginny", "isabella": "isabel", "mikhail": "misha", "vladimir": "volodya vova", "tatiana": "tanya tatyana",
+    "anastasia": "nastya", "ignacio": "nacho", "guillermo": "memo", "rafael": "rafa", "manuel": "manolo", "giovanni": "gianni", "friedrich": "fritz", "heinrich": "heinz", "srinivasan": "srini", "balakrishnan": "balu", "subramaniam": "subbu",
 }
 
 
@@ -166,6 +181,9 @@ def profile(name: str) -> tuple[str, str, str, str] | None:
     if not words:
         return None
     kinds = [w for w in words if _known(w, "office")]
+    if len(words) == 2 and kinds == words[:1] and words[1] not in _LEGAL and words[1] not in _BUSINESS:
+        # An office known by its subject alone.
+        return (f"o|{_known(words[0], 'office')}", "", "", _known(words[1], "subject") or words[1])
     if kinds and (any(_known(w, "subject") for w in words) or any(w in OFFICES and w != "agency" for w in kinds) and len(words) > 2):
         seen, place = {_known(w, "office") for w in kinds}, []
         for w in words:
@@ -249,8 +267,13 @@ def _near(a: str, b: str) -> bool:
 
 
 def _covers(whole: str, part: str) -> bool:
-    """Whether ``part`` can stand for ``whole``: left out, an initial, or a near spelling."""
-    return not part or (whole[:1] == part if len(part) == 1 else _near(whole, part))
+    """Whether ``part`` can stand for ``whole``: left out, an initial, its beginning, or a near spelling."""
+    return not part or (whole[:1] == part if len(part) == 1 else _near(whole, part) or _begins(whole, part))
+
+
+def _begins(whole: str, part: str) -> bool:
+    """Whether ``part`` is ``whole`` cut short: at least four letters, and at least three are gone."""
+    return len(part) > 3 and len(whole) > len(part) + 2 and whole.startswith(part)
 
 
 def verdict(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> int:
@@ -290,7 +313,7 @@ def _person(a: tuple[str, str, str, str], b: tuple[str, str, str, str], la: int,
     if not _near(a[3], b[3]):
         return 0
     if la == lb:
-        one = (a[1] == b[1] or len(a[1]) > 1 and len(b[1]) > 1 and _near(a[1], b[1]) and not (a[1] in GIVEN and b[1] in GIVEN)) and (a[2] == b[2] or _near(a[2], b[2]) and min(len(a[2]), len(b[2])) > 1)
+        one = (a[1] == b[1] or len(a[1]) > 1 and len(b[1]) > 1 and (_near(a[1], b[1]) or _begins(a[1], b[1]) or _begins(b[1], a[1])) and not (a[1] in GIVEN and b[1] in GIVEN)) and (a[2] == b[2] or _near(a[2], b[2]) and min(len(a[2]), len(b[2])) > 1)
         if la == 2:
             one = a[1] == b[1] and a[2] == b[2]
         return int(one and edits(a[2], b[2], 3) + edits(a[3], b[3], 3) <= 3)
@@ -317,39 +340,61 @@ def _verdict_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([verdict(tuple(x.split(_SEP)), tuple(y.split(_SEP))) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+def _split(home: DataFrame, probe: DataFrame, level: int) -> tuple[DataFrame, DataFrame, bool]:
+    """One level of cells: parts of more than ``CELL`` strings are divided among pivots of their own.
+
+    ``home``: part, y. ``probe``: part, x, r. A string belongs to the cell of its nearest pivot. Each cell knows the
+    least and the greatest distance of its strings to the pivot. A probe is copied to a cell only where, by the triangle
+    inequality, a partner can live: its own distance lies within ``r`` of those two, and is at most ``2 r`` above its
+    distance to the nearest pivot. Pivots travel as one array a part, so no pair of string and pivot becomes a row.
+    """
+    sizes = home.groupBy("part").agg(F.count("*").alias("n"))
+    big, _ = materialise(sizes.where(F.col("n") > CELL), "big")
+    if big.isEmpty():
+        return home, probe, False
+    chosen = home.join(big, "part").withColumn("z", F.xxhash64("y", F.lit(level)))
+    share = f"greatest(2, n div {FANOUT} + 1, {CELL // 4})"
+    pivots = chosen.groupBy("part").agg(F.expr(f"collect_list(if(pmod(z, {share}) = 0, y, null))").alias("p"), F.min("y").alias("least")).selectExpr("part", "if(size(p) = 0, array(least), array_sort(p)) as pivots")
+    pivots, _ = materialise(pivots, "pivots")
+    small = pivots.agg(F.coalesce(F.sum(F.size("pivots")), F.lit(0)).alias("n")).first()["n"] <= MAX_BROADCAST_PIVOTS
+    hint = F.broadcast if small else (lambda df: df)
+    placed = home.join(hint(pivots), "part").withColumn("d", F.expr("transform(pivots, p -> levenshtein(y, p))")).selectExpr("part", "y", "cast(array_position(d, array_min(d)) as int) as cell", "array_min(d) as dy")
+    placed, _ = materialise(placed, "cells")
+    cover = placed.groupBy("part", "cell").agg(F.min("dy").alias("lo"), F.max("dy").alias("hi")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("lo", "hi")))).alias("cover"))
+    # Only parts that were divided have a row here.
+    met = probe.join(hint(pivots.join(cover, "part")), "part", "left")
+    copies = met.where("pivots is not null").withColumn("ds", F.expr("transform(pivots, p -> levenshtein(x, p))")).withColumn("least", F.expr("array_min(ds)"))
+    copies = copies.selectExpr("part", "x", "r", "explode(filter(transform(ds, (v, i) -> struct(i + 1 as cell, v as dx)), s -> s.dx <= least + 2 * r and s.dx <= cover[s.cell].hi + r and s.dx >= cover[s.cell].lo - r)) as s")
+    new_part = lambda cell: F.concat_ws(".", "part", F.col(cell).cast("string"))
+    home_after = home.join(hint(pivots.select("part")), "part", "left_anti").unionByName(placed.select(new_part("cell").alias("part"), "y"))
+    probe_after = met.where("pivots is null").select("part", "x", "r").unionByName(copies.select(new_part("s.cell").alias("part"), "x", "r"))
+    return materialise(home_after, "home")[0], materialise(probe_after, "probe")[0], True
+
+
 def radius_join(points: DataFrame, radius: int = RADIUS, reach: tuple[tuple[int, int], ...] = ()) -> DataFrame:
     """All pairs ``(cls, x, y)``, ``x < y``, of distinct strings of one class within ``radius`` edits. Exact.
 
     ``reach`` gives a larger radius, as ``(least length, radius)`` from the longest on, to pairs whose shorter string
-    has that length; no string's radius is below that of its pairs, so the bounds below hold for each string's own.
+    has that length.
 
-    Each class gets pivots in proportion to its size. A string belongs to the cell of its nearest pivot and is copied
-    into every cell whose pivot is at most ``2 * radius`` further away, which by the triangle inequality are all cells
-    where a partner can live. Inside a cell the distances to the pivot must differ by ``radius`` at most, again by
-    the triangle inequality, before the edit distance itself is computed. Pivots travel as one array per class, so no
-    pair of string and pivot becomes a row.
+    Strings are parted by class and length first, because lengths differ by no more than the edits: the longer string of
+    a pair (of two equally long ones the greater) visits the parts of its partner's possible lengths. Parts of more than
+    ``CELL`` strings are divided into cells around pivots, and so are these cells with pivots of their own, until all
+    are small enough or ``LEVELS`` deep; ``_split`` says which cells a string visits. The edit distance itself is
+    computed inside the cells. A string has one home cell, so no pair is met twice.
     """
-    distinct = points.select("cls", "head").distinct()
-    sizes = distinct.groupBy("cls").agg(F.count("*").alias("n"))
-    by = lambda n, of: "case " + " ".join(f"when {n} >= {least} then {of(r)}" for least, r in reach) + f" else {of(radius)} end" if reach else of(radius)
-    own, both = by("length(head)", str), by("least(length(x), length(y))", str)
-    share = f"if(n div {CELL} <= {MAX_PIVOTS}, cast({CELL} as bigint), n div {MAX_PIVOTS} + 1)"
-    pivots, _ = materialise(
-        distinct.join(sizes, "cls").groupBy("cls").agg(F.expr(f"sort_array(collect_list(if(pmod(xxhash64(head), {share}) = 0, head, null)))").alias("p"), F.min("head").alias("least")).selectExpr("cls", "if(size(p) = 0, array(least), p) as pivots"),
-        "pivots",
-    )
-    small = pivots.agg(F.coalesce(F.sum(F.size("pivots")), F.lit(0)).alias("n")).first()["n"] <= MAX_BROADCAST_PIVOTS
-    measured = (
-        distinct.join(F.broadcast(pivots) if small else pivots, "cls")
-        .withColumn("d", F.expr("transform(pivots, p -> levenshtein(head, p))"))
-        .withColumn("home", F.expr("cast(array_position(d, array_min(d)) as int)"))
-        .drop("pivots")
-    )
-    cells, _ = materialise(measured, "cells")
-    home = cells.selectExpr("cls", "home as cell", "head as y", "element_at(d, home) as dy")
-    copies = cells.selectExpr("cls", "head as x", f"explode(filter(transform(d, (v, i) -> struct(i + 1 as cell, v as dx)), s -> s.dx <= array_min(d) + 2 * ({own}))) as s").selectExpr("cls", "x", "s.cell as cell", "s.dx as dx")
-    met = home.join(copies, ["cls", "cell"]).where(f"abs(dx - dy) <= {both} and x <> y and abs(length(x) - length(y)) <= {both}").where(by("least(length(x), length(y))", lambda r: f"levenshtein(x, y, {r}) >= 0"))
-    return met.selectExpr("cls", "least(x, y) as x", "greatest(x, y) as y").distinct()
+    distinct = points.select("cls", "head").where("head is not null and head <> ''").distinct()
+    by = "case " + " ".join(f"when l >= {least} then {r}" for least, r in reach) + f" else {radius} end" if reach else str(radius)
+    widest = max([radius, *(r for _, r in reach)])
+    points_, _ = materialise(distinct.withColumn("n", F.length("head")), "points")
+    home = points_.selectExpr("concat(cls, '|', n) as part", "head as y")
+    probe = points_.selectExpr("cls", "head as x", "n", f"explode(sequence(greatest(1, n - {widest}), n)) as l").selectExpr("concat(cls, '|', l) as part", "x", f"{by} as r", "n - l as apart").where("apart <= r").drop("apart")
+    for level in range(LEVELS):
+        home, probe, divided = _split(home, probe, level)
+        if not divided:
+            break
+    met = probe.join(home, "part").where("(length(y) < length(x) or y < x) and levenshtein(x, y, cast(r as int)) >= 0")
+    return met.selectExpr("regexp_extract(part, '^(.*)[|][0-9]+[.0-9]*$', 1) as cls", "least(x, y) as x", "greatest(x, y) as y")
 
 
 def spelling_groups(names: DataFrame, column: str = "entity") -> DataFrame:
