@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions.unitwords import figure, said
-from ..session import discard, materialise
+from ..session import discard, materialise, tidied
 
 #: Bounds of the labelled rows the classifier is fitted on, whatever the corpus size: rows of each unit for the forest,
 #: and rows of all units, as they are distributed, for its calibration.
@@ -306,6 +306,7 @@ def read_facts(facts: DataFrame, documents: DataFrame, sources: DataFrame) -> Da
     return last.select("id", "r.*").where("figure is not null")
 
 
+@tidied
 def settled(facts: DataFrame, documents: DataFrame, sources: DataFrame, confident: float = CONFIDENT) -> tuple[DataFrame, DataFrame]:
     """Two tables: quantities in common units (``id, kind, canonical_unit, canonical_sci, way`` and, not rounded,
     ``canonical_value`` with the ``unit`` and ``multiplier`` of its figure), and those for review.

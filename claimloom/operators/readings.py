@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 from ..functions.months import listed
 from ..functions.periods import period_or_unknown
 from ..functions.unitwords import figure
-from ..session import materialise
+from ..session import materialise, tidied
 from .quantities import settled
 from .timestamps import fact_windows, known_zones
 
@@ -47,6 +47,7 @@ def local_day(ms: Column, zone: Column, zones: list[str]) -> Column:
     return F.date_from_unix_date(F.floor(local / _DAY_MS).cast("int"))
 
 
+@tidied
 def read_facts_of(facts: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
     """The facts table in the linker's shape, with windows of ``fact_windows`` and values of ``settled``.
 
@@ -71,4 +72,4 @@ def read_facts_of(facts: DataFrame, documents: DataFrame, sources: DataFrame) ->
     shaped = df.select(
         "id", "doc_id", "fact_type", "measure_key", "measure_raw", "entity", "entity_key", quantity.alias("quantity"), "value_text", period.alias("period"), "basis", "estimate_type", "as_of", "page", F.lit(None).cast("string").alias("quote"), "confidence"
     )
-    return materialise(shaped, "reading")[0]
+    return shaped

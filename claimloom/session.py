@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +36,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Paths that the ``tidied`` call under way has written, and all that are still there.
+_record: ContextVar[list[str] | None] = ContextVar("claimloom_record", default=None)
+_left: set[str] = set()
+
+
 def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table into the shared folder and read it back: the lineage ends there.
 
-    The files outlive lost executors. Returns the new frame and its path, for ``discard``.
+    The files outlive lost executors. Returns the new frame and its path, for ``discard``; what is not discarded is
+    deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/claimloom-{uuid.uuid4().hex[:12]}-{label}"
+    if not _left:
+        atexit.register(_sweep)
+    _left.add(path)
+    if (record := _record.get()) is not None:
+        record.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -49,6 +63,50 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _left.discard(path)
+
+
+def _sweep() -> None:
+    """Delete what is left, as far as it can still be reached."""
+    spark = SparkSession.getActiveSession()
+    for path in sorted(_left):
+        try:
+            shutil.rmtree(path.removeprefix("file://")) if path.startswith("file:") else spark and discard(spark, path)
+        except Exception:  # noqa: BLE001, S112
+            continue
+
+
+def tidied(make: Callable) -> Callable:
+    """A function that returns a frame (or a tuple of frames), with its results written and all its other tables deleted.
+
+    Inside another such call it does nothing: the outer one tidies up. A call that fails leaves no table behind either.
+    """
+
+    @wraps(make)
+    def run(*args, **kwargs):
+        if _record.get() is not None:
+            return make(*args, **kwargs)
+        token = _record.set(written := [])
+        kept: list[str] = []
+        spark = None
+        try:
+            made = make(*args, **kwargs)
+            frames = made if isinstance(made, tuple) else (made,)
+            spark = frames[0].sparkSession
+            done = []
+            for f in frames:
+                frame, path = materialise(f, make.__name__)
+                kept.append(path)
+                done.append(frame)
+            return tuple(done) if isinstance(made, tuple) else done[0]
+        finally:
+            _record.reset(token)
+            spark = spark or SparkSession.getActiveSession()
+            for path in written:
+                if path not in kept and spark is not None:
+                    discard(spark, path)
+
+    return run
 
 
 def small_rows(df: DataFrame, max_rows: int) -> list | None:
