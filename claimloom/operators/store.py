@@ -45,59 +45,85 @@ RELATION_UPDATES = ["type", "reason_code", "confidence", "explanation", "analysi
 
 
 class Store:
-    """Tables under one folder, ``<root>/<table>/v=<n>``; the highest finished version is the table.
+    """Tables under one folder, ``<root>/<table>/v=<n>/b=<k>``: the batches of the highest finished version are the table.
 
-    A version counts only when its ``_SUCCESS`` file exists, so a lost executor or driver leaves the last one in place.
+    New keys are appended as a batch of their own, so a micro-batch writes its own rows only; changed and deleted rows
+    make a new version. Versions and batches count only when their ``_SUCCESS`` file exists, so a lost executor or driver
+    leaves the last state in place.
     """
 
+    #: Batches from which a version is written anew as one.
+    MOST_BATCHES = 64
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs, self._path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
+    def _numbers(self, folder: str, mark: str) -> list[int]:
+        where = self._path(folder)
+        if not self._fs.exists(where):
+            return []
+        return sorted(int(s.getPath().getName()[2:]) for s in self._fs.listStatus(where) if s.getPath().getName().startswith(mark))
+
+    def _batches(self, name: str, v: int) -> list[int]:
+        folder = f"{self.root}/{name}/v={v}"
+        return [k for k in self._numbers(folder, "b=") if self._fs.exists(self._path(f"{folder}/b={k}/_SUCCESS"))]
+
     def version(self, name: str) -> int:
-        folder = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(folder):
-            return 0
-        found = [int(s.getPath().getName()[2:]) for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v=")]
-        return max((v for v in found if self._fs.exists(self._path(f"{self.root}/{name}/v={v}/_SUCCESS"))), default=0)
+        """The highest version whose first batch is finished; 0 where there is none."""
+        return max((v for v in self._numbers(f"{self.root}/{name}", "v=") if 0 in self._batches(name, v)), default=0)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}/v={self.version(name)}/b=0"
 
     def read(self, name: str) -> DataFrame | None:
         v = self.version(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v={v}") if v else None
+        return self.spark.read.parquet(*[f"{self.root}/{name}/v={v}/b={k}" for k in self._batches(name, v)]) if v else None
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        v = self.version(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}")
+        """``df`` as the table's next version."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={self.version(name) + 1}/b=0")
         return self.read(name)
 
+    def append(self, name: str, new: DataFrame, key: str = "id") -> DataFrame:
+        """Rows of ``new`` whose key the table lacks, each key once, as a batch; of the table only the keys are read."""
+        old = self.read(name)
+        if old is None:
+            return self.write(name, new.dropDuplicates([key]))
+        fresh = new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*old.columns)
+        v, taken = self.version(name), self._numbers(f"{self.root}/{name}/v={self.version(name)}", "b=")
+        fresh.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}/b={taken[-1] + 1}")
+        return self.write(name, self.read(name)) if len(taken) >= self.MOST_BATCHES else self.read(name)
+
     def vacuum(self, keep: int = 2) -> None:
         """Delete versions older than the last ``keep``."""
-        for name in ("documents", "facts", "relations", "failures"):
+        for name in ("documents", "facts", "relations", "failures", "registry"):
             for v in range(1, self.version(name) - keep + 1):
                 self._fs.delete(self._path(f"{self.root}/{name}/v={v}"), True)
 
-    def _merge(self, name: str, new: DataFrame, merge) -> DataFrame:
-        old = self.read(name)
-        return self.write(name, new.dropDuplicates(["id"]) if old is None else merge(old, new))
-
     def upsert_documents(self, new: DataFrame) -> DataFrame:
-        return self._merge("documents", new, lambda o, n: upsert(o, n, "id", DOCUMENT_UPDATES))
+        old = self.read("documents")
+        return self.write("documents", new.dropDuplicates(["id"]) if old is None else upsert(old, new, "id", DOCUMENT_UPDATES))
 
     def add_facts(self, new: DataFrame) -> int:
         """Insert facts whose id is new; returns how many were offered."""
         offered = new.count()
-        self._merge("facts", new, insert_new)
+        self.append("facts", new)
         return offered
 
     def add_relations(self, new: DataFrame) -> int:
-        offered = new.count()
-        self._merge("relations", new, lambda o, n: upsert(o, n, "id", RELATION_UPDATES))
+        """Insert relations; a known id takes the new verdict. Only where one is known is the table written anew."""
+        offered, old = new.count(), self.read("relations")
+        if old is None or new.join(old.select("id"), "id", "left_semi").isEmpty():
+            self.append("relations", new)
+        else:
+            self.write("relations", upsert(old, new, "id", RELATION_UPDATES))
         return offered
 
     def add_failures(self, new: DataFrame) -> int:
         offered = new.count()
-        self._merge("failures", new, insert_new)
+        self.append("failures", new)
         return offered
 
     def relink(self, **options) -> DataFrame:

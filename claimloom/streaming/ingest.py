@@ -21,8 +21,7 @@ def process(batch: DataFrame, store: Store, pages: DataFrame, meta: DataFrame, m
     """
     parsed = batch.withColumn("payload", parse_json_loose(F.col("payload")))
     checked, checked_path = materialise(claims.check_claims(claims.explode_claims(parsed), pages, meta, strict), "checked")
-    state = f"{store.root}/registry/v={store.version('registry')}"
-    known = registry.load_registry(batch.sparkSession, state) if store.version("registry") else registry.MeasureRegistry()
+    known = registry.load_registry(batch.sparkSession, store.path("registry")) if store.version("registry") else registry.MeasureRegistry()
     facts = claims.accepted_facts(checked)
     if (old := store.read("facts")) is not None:
         facts = facts.join(old.select("id"), "id", "left_anti")
@@ -36,9 +35,12 @@ def process(batch: DataFrame, store: Store, pages: DataFrame, meta: DataFrame, m
     every = store.read("facts")
     touched = stored.select(*linking.KEYS).distinct()
     relations = linking.link(every.join(F.broadcast(touched) if touched.count() < 10_000 else touched, linking.KEYS, "left_semi"), store.read("relations"), max_block=max_block)
-    store.add_relations(relations.withColumn("analysis", F.to_json("analysis")))
+    made, made_path = materialise(relations.withColumn("analysis", F.to_json("analysis")), "relations")
+    store.add_relations(made)
+    discard(spark, made_path)
     discard(spark, checked_path)
     discard(spark, facts_path)
+    store.vacuum()
 
 
 def start(units: DataFrame, store: Store, pages: DataFrame, meta: DataFrame, checkpoint: str, **options) -> StreamingQuery:
