@@ -15,11 +15,18 @@ from pyspark.sql.types import BooleanType, StringType
 # Letters of other scripts that are drawn like a Latin letter, and the letter they are drawn like.
 LOOKALIKES = (
     # Cyrillic
-    ("аеорсухіјѕһԁԛԝ", "aeopcyxijshdqw"),
-    ("АВЕКМНОРСТУХІЈЅԌԚԜ", "ABEKMHOPCTYXIJSGQW"),
+    ("аеорсухіјѕһԁԛԝӏ", "aeopcyxijshdqwl"),
+    ("АВЕКМНОРСТУХІЈЅԌԚԜӀ", "ABEKMHOPCTYXIJSGQWl"),
     # Greek
-    ("ονρ", "ovp"),
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
+    ("ονραιυϲϳ", "ovpaiucj"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),
+    # Armenian
+    ("օհոսցզ", "ohnugq"),
+    ("ՕՏԼՍ", "OSLU"),
+    # Cherokee
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏏᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4bRWVSLCPKB"),
+    # Letters of phonetic writing
+    ("ɑɡɩ", "agi"),
 )
 # Marks drawn as a plain hyphen.
 HYPHENS = "\u2010\u2011"
@@ -44,43 +51,66 @@ def _one(ch: str, letters: dict[str, str]) -> str:
     return "".join(letters.get(x, x) for x in unicodedata.normalize("NFD", ch))
 
 
-def compile_transducer() -> tuple[re.Pattern, dict[str, str]]:
-    """The cluster pattern and the table of single code points, checked for conflicts.
+def _scanned() -> Iterator[str]:
+    for lo, hi in SCANNED:
+        for cp in range(lo, hi + 1):
+            if not 0xD800 <= cp <= 0xDFFF:
+                yield chr(cp)
+
 
-    A conflict is a letter with two outputs, an output that would itself be rewritten, or a character that is both
-    removed and mapped. Each raises ``ValueError``: the mapping must be a function and applying it twice must change
-    nothing.
+def compile_transducer() -> tuple[re.Pattern, dict[str, str], frozenset[str]]:
+    """The pattern of clusters, the mapping of clusters to their one form, and the marks that follow a base.
+
+    Compiled beforehand are all single code points and all clusters of a base and the marks it can be composed with, the
+    base in each of its looks (accents written apart, look-alike bases, both). Conflicts raise ``ValueError``: a letter or
+    a cluster with two outputs, an output that would itself be rewritten, a character that is both removed and mapped.
+    The mapping must be a function, and applying it twice must change nothing.
     """
     letters: dict[str, str] = {}
     for sources, targets in LOOKALIKES:
         for s, t in zip(sources, targets, strict=True):
             if letters.setdefault(s, t) != t:
                 raise ValueError(f"two outputs for {s!r}")
-    singles: dict[str, str] = {}
-    marks = {chr(c) for c in range(0x300, 0x370)} | set("\u093c\u09bc\u3099\u309a\u0e4d\uff9e\uff9f")
-    for lo, hi in SCANNED:
-        for cp in range(lo, hi + 1):
-            if not 0xD800 <= cp <= 0xDFFF and (out := unicodedata.normalize("NFC", _one(chr(cp), letters))) != chr(cp):
-                singles[chr(cp)] = out
-    for s, out in singles.items():
-        if any(x in singles for x in out):
+    looks: dict[str, list[str]] = {}
+    for s, t in letters.items():
+        looks.setdefault(t, []).append(s)
+    marks = set("\u0e4d\uff9e\uff9f")
+    table: dict[str, str] = {}
+    clusters: dict[str, str] = {}
+
+    def put(key: str, value: str) -> None:
+        if clusters.setdefault(key, value) != value:
+            raise ValueError(f"two outputs for {key!r}")
+
+    for ch in _scanned():
+        if (out := unicodedata.normalize("NFC", _one(ch, letters))) != ch:
+            table[ch] = out
+        apart = unicodedata.normalize("NFD", ch)
+        if len(apart) > 1 and all(unicodedata.combining(x) for x in apart[1:]):
+            marks |= set(apart[1:])
+            one = unicodedata.normalize("NFC", letters.get(apart[0], apart[0]) + apart[1:])
+            for base in (apart[0], *looks.get(apart[0], ())):
+                put(base + apart[1:], unicodedata.normalize("NFC", one))
+    marks |= {chr(c) for c in range(0x300, 0x370)} - set(UNSEEN)
+    for s, out in table.items():
+        if any(x in table for x in out):
             raise ValueError(f"the output of {s!r} is itself rewritten")
         if s in UNSEEN and out:
             raise ValueError(f"{s!r} is both removed and mapped")
     follow = "".join(map(re.escape, sorted(marks | set(UNSEEN))))
-    heads = "".join(map(re.escape, sorted(singles)))
+    heads = "".join(map(re.escape, sorted(table)))
     # Thai sara am is drawn the same as nikhahit before sara aa, so the latter belongs to the cluster.
-    return re.compile(f"(?:[{heads}]|.[{follow}])[{follow}]*\u0e32?", re.DOTALL), singles
+    return re.compile(f"(?:[{heads}]|.[{follow}])[{follow}]*\u0e32?", re.DOTALL), clusters | table, frozenset(marks)
 
 
 class Clusters(dict):
-    """Output of each cluster met so far: single code points are precomputed, longer clusters follow on first sight."""
+    """The compiled mapping; a cluster outside it (marks on a base they make no letter with) is composed on first sight."""
 
     LIMIT = 200_000
 
-    def __init__(self, singles: dict[str, str]):
-        super().__init__(singles)
-        self.singles = singles
+    def __init__(self, compiled: dict[str, str]):
+        super().__init__(compiled)
+        self.singles = {k: v for k, v in compiled.items() if len(k) == 1}
 
     def __missing__(self, cluster: str) -> str:
         plain = "".join(self.singles.get(ch, ch) for ch in cluster)
@@ -91,11 +121,11 @@ class Clusters(dict):
         return out
 
 
-_PATTERN, _SINGLES = compile_transducer()
-_TABLE = Clusters(_SINGLES)
-_ORDS = {ord(k): v for k, v in _SINGLES.items()}
+_PATTERN, _COMPILED, _MARKS = compile_transducer()
+_TABLE = Clusters(_COMPILED)
+_ORDS = {ord(k): v for k, v in _TABLE.singles.items()}
 _LAYOUT = re.compile(r"[\t\n\r\x0b\x0c]")
-_FOLLOW = re.compile("[\u0300-\u036f\u093c\u09bc\u3099\u309a\u0e4d\uff9e\uff9f]")
+_FOLLOW = re.compile("[" + "".join(map(re.escape, sorted(_MARKS))) + "]")
 
 
 class Words(dict):
@@ -135,19 +165,18 @@ def one_look_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 @pandas_udf(BooleanType())
-def _holds(text: pd.Series, quote: pd.Series) -> pd.Series:
-    """Whether the page holds the quote once both have one look; a page repeated in the batch is rewritten once."""
-    done: dict[str, str] = {}
-    out = []
-    for t, q in zip(text, quote, strict=True):
-        page = done.get(t)
-        if page is None:
-            if len(done) > 64:
-                done.clear()
-            page = done[t] = one_look(t)
-        q = one_look(q)
-        out.append(bool(q.strip()) and q in page)
-    return pd.Series(out, dtype=bool)
+def _holds(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether the page holds the quote once both have one look. Rows come sorted by page out of the join, so each page is
+    rewritten once and forgotten when the next comes, however its rows fall into batches."""
+    last, page = None, None
+    for texts, quotes in batches:
+        out = []
+        for t, q in zip(texts, quotes, strict=True):
+            if last is None or t != last:
+                last, page = t, one_look(t)
+            q = one_look(q)
+            out.append(bool(q.strip()) and q in page)
+        yield pd.Series(out, dtype=bool)
 
 
 def consistent_pages(pages: DataFrame) -> DataFrame:
@@ -164,5 +193,5 @@ def recovered_quotes(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     """
     quotes = evidence.select("evidence_id", "doc_id", "page", "quote").where("quote is not null and quote <> ''")
     texts = pages.select("doc_id", "page", F.col("text").alias("page_text")).where("page_text is not null")
-    missed = quotes.join(texts, ["doc_id", "page"]).where(~F.contains("page_text", "quote"))
+    missed = quotes.join(texts.hint("merge"), ["doc_id", "page"]).where(~F.contains("page_text", "quote"))
     return missed.where(_holds("page_text", "quote")).select("evidence_id").distinct()
