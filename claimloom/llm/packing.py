@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialise  # noqa: F401
+from ..session import materialise, tidied
 
 CAPACITY = 2048
 #: Tokens that one group packs: about 2,000 containers, so a group is one small task at any corpus size.
@@ -21,7 +21,7 @@ STRETCH = 200_000
 # The tokenizer's words end before a blank whatever stands around, so tokens on both sides are those of the whole text.
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
-_PARTS = "doc_id bigint, part int, n_tokens int, container string"
+_PARTS = "doc_id bigint, part int, n_tokens int, container string, byte_start bigint, byte_end bigint"
 
 
 def tokenizer_folder() -> str:
@@ -67,15 +67,35 @@ def stretches(text: str, length: int | None = None) -> Iterator[str]:
         at = end
 
 
-def token_counts(documents: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens`` of every document; a document delivered twice under one id counts as its longest text."""
+def measured(text: str | None, path: str, capacity: int) -> tuple[int, int, list[int]]:
+    """Tokens and UTF-8 bytes of a text and, where it is longer than ``capacity`` tokens, the byte at which each full part ends."""
+    if not text:
+        return 0, 0, []
+    n, size, cuts, at = 0, 0, [], 0
+    enc = encoder(path)
+    parts = [enc.encode_ordinary(part) for part in stretches(text)]
+    n = sum(map(len, parts))
+    if n > capacity:
+        for ids in parts:
+            for token in ids:
+                size += len(enc.decode_single_token_bytes(token))
+                at += 1
+                if at % capacity == 0 and at < n:
+                    cuts.append(size)
+    return n, len(text.encode()), cuts
+
+
+def token_counts(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """``doc_id, n_tokens, n_bytes, cuts`` of every document; of two texts under one id the one with more tokens counts
+    (ties: more bytes, then the later cuts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [count_tokens(t, path) for t in b["text"]]})
+            rows = [measured(t, path, capacity) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [r[0] for r in rows], "n_bytes": [r[1] for r in rows], "cuts": [r[2] for r in rows]})
 
-    counted = documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id bigint, n_tokens bigint")
-    return counted.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    counted = documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id bigint, n_tokens bigint, n_bytes bigint, cuts array<bigint>")
+    return counted.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "n_bytes", "cuts")).alias("m")).select("doc_id", "m.*")
 
 
 class FirstFit:
@@ -116,8 +136,12 @@ def first_fit_decreasing(items: list[tuple[int, int]], capacity: int) -> list[tu
     return [(doc, part, size, tree.put(size)) for doc, part, size in parts]
 
 
+@tidied
 def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken", group_tokens: int = GROUP_TOKENS, seed: int = 17) -> DataFrame:
-    """The container of every document: ``doc_id, part, n_tokens, container``.
+    """The container of every document: ``doc_id, part, n_tokens, container, byte_start, byte_end``.
+
+    The bytes are those of the UTF-8 text that the part takes, so a container can be filled without tokenising again: the
+    parts of a document are its bytes in order (a cut may fall inside a character that spans tokens).
 
     Texts are tokenised once into a table. Its total sets the number of groups, so a group holds about
     ``group_tokens`` tokens whatever the corpus size; documents fall into groups by a seeded hash of their id, which no
@@ -130,13 +154,15 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = "by
     """
     if capacity < 1:
         raise ValueError("capacity must be at least one token")
-    counts, _ = materialise(token_counts(documents, f"{tokenizer_folder()}/{vocabulary}"), "tokens")
+    counts, _ = materialise(token_counts(documents, f"{tokenizer_folder()}/{vocabulary}", capacity), "tokens")
     total = counts.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
     groups = max(1, -(-int(total["t"] or 0) // group_tokens), -(-total["n"] // (group_tokens // 16)))
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = first_fit_decreasing(list(zip(group["doc_id"].tolist(), group["n_tokens"].tolist(), strict=True)), capacity)
-        return pd.DataFrame([(d, p, s, f"g{key[0]}-{b}") for d, p, s, b in rows], columns=["doc_id", "part", "n_tokens", "container"])
+        ends = {d: [0, *c, n] for d, c, n in zip(group["doc_id"].tolist(), group["cuts"], group["n_bytes"].tolist(), strict=True)}
+        placed = [(d, p, s, f"g{key[0]}-{b}", ends[d][p], ends[d][p + 1]) for d, p, s, b in rows]
+        return pd.DataFrame(placed, columns=["doc_id", "part", "n_tokens", "container", "byte_start", "byte_end"])
 
     grouped = counts.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
     return grouped.groupBy("g").applyInPandas(pack, _PARTS)
