@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, tidied
 from .lookalikes import one_look
 
 #: Consecutive words that make a leak.
@@ -118,6 +118,7 @@ def _spans(documents: DataFrame, items: DataFrame, max_windows: int, max_vocabul
     return runs.groupBy("doc_id", "t", "item_id", "run").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end")).drop("run")
 
 
+@tidied
 def leaked_spans(documents: DataFrame, items: DataFrame, max_windows: int = MAX_WINDOWS, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
     """Spans of documents that repeat at least eight consecutive words of an item.
 
@@ -134,11 +135,13 @@ def leaked_spans(documents: DataFrame, items: DataFrame, max_windows: int = MAX_
     return _spans(documents, items, max_windows, max_vocabulary).select("doc_id", "item_id", "char_start", "char_end").distinct()
 
 
+@tidied
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Every document with every item leaked into it: ``doc_id, item_id``, distinct."""
     return _spans(documents, items, MAX_WINDOWS, MAX_VOCABULARY).select("doc_id", "item_id").distinct()
 
 
+@tidied
 def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Every document with its leaked spans cut out: ``doc_id, text, removed_chars``; untouched texts are as stored."""
     spans = _spans(documents, items, MAX_WINDOWS, MAX_VOCABULARY).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("char_start", "char_end"))).alias("spans"))

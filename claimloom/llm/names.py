@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
-from ..session import materialise
+from ..session import materialise, tidied
 from .components import hash_to_min
 from .lookalikes import one_look
 
@@ -397,6 +397,7 @@ def radius_join(points: DataFrame, radius: int = RADIUS, reach: tuple[tuple[int,
     return met.selectExpr("regexp_extract(part, '^(.*)[|][0-9]+[.0-9]*$', 1) as cls", "least(x, y) as x", "greatest(x, y) as y")
 
 
+@tidied
 def spelling_groups(names: DataFrame, column: str = "entity") -> DataFrame:
     """Group of every distinct spelling that names somebody: ``entity, group_id``.
 
@@ -435,6 +436,7 @@ def spelling_groups(names: DataFrame, column: str = "entity") -> DataFrame:
     return parsed.select("entity", "key").join(grouped(links), "key").selectExpr("entity", "g as group_id")
 
 
+@tidied
 def same_names(facts: DataFrame, column: str = "entity") -> DataFrame:
     """Every pair of different spellings of one entity: ``entity_a < entity_b`` by code point, distinct."""
     groups, _ = materialise(spelling_groups(facts, column), "spellings")
