@@ -30,9 +30,11 @@ def search(facts: DataFrame, doc_id=None, measure_key: str | None = None, q: str
 def list_facts(facts: DataFrame, limit: int = 500, **filters) -> DataFrame:
     """The first ``limit`` matching facts by document and page, with label, shown value and ``total`` matches."""
     found = search(facts, **filters)
-    labels = measures(facts).select(F.col("key").alias("measure_key"), F.col("label").alias("measure_label"))
     top = found.orderBy("doc_id", "page", "id")
     top = top.limit(limit) if limit else top
+    # Only the measures that are shown get a label.
+    named = facts.join(top.select("measure_key").distinct(), "measure_key", "left_semi") if limit else facts
+    labels = measures(named).select(F.col("key").alias("measure_key"), F.col("label").alias("measure_label"))
     shown = top.join(labels, "measure_key", "left").withColumns({"measure_label": F.coalesce("measure_label", "measure_raw"), "display_value": display_value()})
     return shown.crossJoin(found.agg(F.count("*").alias("total")))
 

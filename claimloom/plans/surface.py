@@ -8,7 +8,8 @@ from ..functions import entities, loosejson, numbers, text
 from ..operators import adjudicate as adj
 from ..operators import claims, ingest, linking, registry, store, views
 from ..session import table
-from ..sources.files import cached_answers
+from ..sources.files import cached_answers, openings
+from ..sources.files import document_metadata as document_fields
 from . import written as w
 from .functions import _BLOCKS, _CHECKED, _TOKENS, _UNITS, _blocks, _checked, _claims
 from .reconcile import _ONE_RELATION, _RANK, FACTS_SQL, PAIRS_SQL, _facts, _relations, latest_facts
@@ -203,8 +204,28 @@ def coercions(spark, sf_dir):
     return f.select("id", "extracted_at", claims.page_in_unit(F.col("page").cast("string"), pages).alias("page"), F.array_join(claims.basis_of(claims.as_list(lone)), ",").alias("basis"), claims.blank_to_null(F.col("value_text")).alias("value_text"))
 
 
+def document_metadata(spark, sf_dir):
+    """Fields of an extractor's answers about documents: every third is whole, others are broken or missing."""
+    d = table(spark, sf_dir, "documents")
+    good = F.to_json(F.struct("title", F.col("source").alias("publisher"), F.date_format("published", "yyyy-MM").alias("published"), F.lit(" ").alias("principal_entity")))
+    answers = d.where("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, good).otherwise(F.lit("[1")).alias("payload"))
+    return document_fields(d, answers)
+
+
+def document_openings(spark, sf_dir):
+    return openings(table(spark, sf_dir, "doc_pages")).select("doc_id", F.sha2("opening", 256).alias("digest"), F.length("opening").alias("chars"))
+
+
+def pages_to_relations(spark, sf_dir):
+    """The whole way: claims checked and grounded on their pages with the fuzzy search, made into facts, registered, linked."""
+    facts = claims.accepted_facts(_checked(spark, sf_dir))
+    keys = registry.assign_batch(facts)
+    named = facts.withColumn("kind", F.coalesce("quantity.kind", F.lit("other"))).join(keys, ["measure_raw", "kind"]).drop("kind")
+    return linking.link(named).groupBy("type", "reason_code").agg(F.count("*").alias("n"))
+
+
 _NAMES = (
-    fact_rows, relations_of_fact, one_fact, facts_of_document, relations_list, failures_list, measures_in_full, stats_in_full, relink, pair_priority, relation_explanations, relation_analysis, same_sentence, upsert_relations, insert_failures, documents_forced, cached_answers_used,
+    pages_to_relations, document_metadata, document_openings, fact_rows, relations_of_fact, one_fact, facts_of_document, relations_list, failures_list, measures_in_full, stats_in_full, relink, pair_priority, relation_explanations, relation_analysis, same_sentence, upsert_relations, insert_failures, documents_forced, cached_answers_used,
     text_blocks, reading_order, unit_spans, unit_prompts, scale_suffix, same_entities, titles, meta_dates, json_repair, coercions,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -216,6 +237,8 @@ _FIRST = "pick as (select min(a_id) as pick from relations where b_id is not nul
 _FAILED = f"{_CHECKED}, failed as (select *, 'x_' || doc_id || '_' || page || '_' || failure || '_' || (row_number() over (partition by doc_id, page, failure order by uid) - 1) as fid from checked where failure is not null)"
 _DESCRIBED = "coalesce({x}.q_raw, {x}.value_text, '') || ' for ' || coalesce({x}.p_raw, 'an unstated period')"
 SQL = {
+    "document_metadata": f"select doc_id, case when doc_id % 3 = 0 then nullif({w.trimmed('title')}, '') end as title, case when doc_id % 3 = 0 then nullif({w.trimmed('source')}, '') end as publisher, case when doc_id % 3 = 0 then date_trunc('month', published)::date end as published, null::varchar as principal_entity from documents",
+    "document_openings": "with o as (select doc_id, left(string_agg(coalesce(text, ''), chr(10) || chr(10) order by page), 9000) t from doc_pages where page <= 3 group by 1) select doc_id, sha256(t) as digest, length(t)::int as chars from o",
     "fact_rows": f"""with {_LATEST}, {_LABELS} select id, doc_id, coalesce(label, measure_raw) as measure_label, coalesce(quantity.raw, value_text, '') as value, canonical_value, canonical_unit, period.raw as period_raw, period.kind as period_kind, period_start, period_end,
         array_to_string(basis, ',') as basis, estimate_type, as_of::varchar as as_of, confidence, doc_id || '#p' || page as locator from latest left join labels using (measure_key)""",
     "relations_of_fact": f"with {_ONE}, {_FIRST} select id, a_id, b_id, type, confidence from one, pick where a_id = pick or b_id = pick",
