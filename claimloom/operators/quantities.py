@@ -11,7 +11,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import FeatureHasher, StringIndexer
+from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ CONFIDENT = 0.95
 _SCALED = frozenset({"money", "mass", "energy", "area", "duration", "count"})
 
 #: Least probability with which the forest must offer a unit that a neighbouring field names.
-OFFERED = 0.1
+OFFERED = 0.05
 
 _READ = StructType(
     [StructField("kind", StringType()), StructField("unit", StringType()), StructField("sci", StringType()), StructField("figure", DoubleType()), StructField("scale", DoubleType()), StructField("label", StringType())]
@@ -154,7 +154,8 @@ def features(df: DataFrame) -> DataFrame:
     )
 
 
-_NUMERIC, _WORDY = ["f_size", "f_sign", "f_whole", "f_scale", "f_worded", "f_gap"], ["f_kind", "f_measure", "f_source"]
+_BARE, _WORDY = ["f_size", "f_sign", "f_whole", "f_scale"], ["f_kind", "f_measure", "f_source"]
+_NUMERIC = [*_BARE, "f_worded", "f_gap"]
 
 
 class Wordings:
@@ -183,7 +184,8 @@ class Wordings:
 
 
 def _worded(df: DataFrame, wordings: Wordings, other: Wordings | None = None) -> DataFrame:
-    """Adds ``f_worded, f_gap``; with ``other`` rows of an even ``h`` are read by ``wordings`` and odd ones by ``other``."""
+    """Adds ``f_worded, f_gap``; with ``other`` rows of an even ``h`` are read by ``wordings`` and odd ones by ``other``.
+    Rows whose words are hidden, or that have none, are worded by nothing."""
 
     @pandas_udf(_WORDED)
     def read(words: pd.Series, h: pd.Series) -> pd.DataFrame:
@@ -196,9 +198,11 @@ _WORDED = StructType([StructField("worded", DoubleType()), StructField("gap", Do
 
 
 class Fitted(NamedTuple):
-    """The forest, its labels, and for each kind the curve that calibrates its top probability."""
+    """The forest for figures with words about them and the one for figures without, their labels, and for each kind the
+    curve that calibrates the top probability (after ``~``: without words)."""
 
     model: PipelineModel
+    bare: PipelineModel
     wordings: Wordings
     labels: list[str]
     curves: dict[str, list[tuple[float, float]]]
@@ -221,16 +225,30 @@ def isotonic(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 OWN_CURVE = 30
 
 
+def _forest(rows: DataFrame, numbers: list[str], seed: int) -> PipelineModel:
+    """A forest over labelled rows, from the stated numbers and the hashed fields; labels count in order of code point."""
+    steps = [
+        FeatureHasher(inputCols=_WORDY, outputCol="v_fields", numFeatures=64),
+        # The numbers have slots of their own, which no hashed field shares.
+        VectorAssembler(inputCols=[*numbers, "v_fields"], outputCol="features"),
+        StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip", stringOrderType="alphabetAsc"),
+        RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=20, maxDepth=12, maxBins=64, seed=seed, featureSubsetStrategy="0.5"),
+    ]
+    fitted = Pipeline(stages=steps).fit(rows)
+    return PipelineModel([*fitted.stages[:2], fitted.stages[3]])
+
+
 def train(labelled: DataFrame, per_unit: int = PER_UNIT, sample: int = SAMPLE, seed: int = 7) -> Fitted | None:
     """A random forest over quantities whose unit stands beside them, and curves that calibrate its top probability.
 
     Rows are chosen by a hash of the id. Three quarters of all are for the forest, ``per_unit`` rows of each unit at
     most; of the others ``sample`` at most calibrate it, each kind on its own where it has ``OWN_CURVE`` of them.
     ``accuracy`` holds their right and all by kind. The words of a row are read by counts of the half it is not in, so
-    that no row has seen itself. None where the sample has no two labels to tell apart or too few rows to calibrate.
+    that no row has seen itself. A second forest sees the same rows without their words, for figures that have none; it
+    has curves of its own. None where the sample has no two labels to tell apart or too few rows to calibrate.
     """
     spark = labelled.sparkSession
-    hashed = features(labelled).withColumn("h", F.xxhash64("id", F.lit(seed))).select("label", "h", "words", *[c for c in _NUMERIC if c not in ("f_worded", "f_gap")], *_WORDY)
+    hashed = features(labelled).withColumn("h", F.xxhash64("id", F.lit(seed))).select("label", "h", "words", *_BARE, *_WORDY)
     held = F.pmod("h", F.lit(4)) == 0
     ranked = hashed.where(~held).withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("rank") <= per_unit).drop("rank")
     rows, path = materialise(ranked.withColumn("for_fit", F.lit(True)).unionByName(hashed.where(held).orderBy("h").limit(sample).withColumn("for_fit", F.lit(False))), "units")
@@ -242,52 +260,60 @@ def train(labelled: DataFrame, per_unit: int = PER_UNIT, sample: int = SAMPLE, s
     index = {x: i for i, x in enumerate(labels)}
     halves = [Wordings([(r["words"], index[r["label"]]) for r in fit_rows if r["h"] % 2 == k], len(labels)) for k in (1, 0)]
     wordings = Wordings([(r["words"], index[r["label"]]) for r in fit_rows], len(labels))
-    steps = [
-        FeatureHasher(inputCols=[*_NUMERIC, *_WORDY], outputCol="features", numFeatures=128),
-        StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip", stringOrderType="alphabetAsc"),
-        RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=24, maxDepth=14, maxBins=64, seed=seed, featureSubsetStrategy="0.4"),
-    ]
-    fitted = Pipeline(stages=steps).fit(_worded(rows.where("for_fit"), *halves))
-    model = PipelineModel([fitted.stages[0], fitted.stages[2]])
-    judged = model.transform(_worded(rows.where("not for_fit"), wordings)).select("label", F.array_max(_array("probability")).alias("p"), F.col("prediction").cast("int").alias("i")).collect()
+    for_fit = _worded(rows.where("for_fit"), *halves)
+    model, bare = _forest(for_fit, _NUMERIC, seed), _forest(for_fit, _BARE, seed)
+    held_out = _worded(rows.where("not for_fit"), wordings)
+    scored = model.transform(held_out.where("f_worded >= 0")).withColumn("worded", F.lit(True)).unionByName(bare.transform(held_out).withColumn("worded", F.lit(False)))
+    judged = scored.select("label", F.array_max(_array("probability")).alias("p"), F.col("prediction").cast("int").alias("i"), "worded").collect()
     discard(spark, path)
     if len(judged) < 20:
         return None
-    points: dict[str, list[tuple[float, float]]] = {"": []}
+    points: dict[str, list[tuple[float, float]]] = {"": [], "~": []}
     accuracy: dict[str, list[int]] = {}
-    for label, p, i in judged:
+    for label, p, i, worded in judged:
         right = float(labels[i] == label)
-        points[""].append((p, right))
-        points.setdefault(labels[i].split("|")[0], []).append((p, right))
-        counts = accuracy.setdefault(label.split("|")[0], [0, 0])
-        counts[0] += int(right)
-        counts[1] += 1
-    curves = {k: isotonic(v) for k, v in points.items() if not k or len(v) >= OWN_CURVE}
-    return Fitted(model, wordings, labels, curves, {k: (a, b) for k, (a, b) in accuracy.items()})
+        mark = "" if worded else "~"
+        points[mark].append((p, right))
+        points.setdefault(mark + labels[i].split("|")[0], []).append((p, right))
+        if worded:
+            counts = accuracy.setdefault(label.split("|")[0], [0, 0])
+            counts[0] += int(right)
+            counts[1] += 1
+    curves = {k: isotonic(v) for k, v in points.items() if k in ("", "~") or len(v) >= OWN_CURVE}
+    return Fitted(model, bare, wordings, labels, curves, {k: (a, b) for k, (a, b) in accuracy.items()})
 
 
 def _array(vector: str) -> Column:
     return vector_to_array(F.col(vector))
 
 
-def _calibrated(kind: Column, p: Column, curves: dict[str, list[tuple[float, float]]]) -> Column:
-    """The curve of a kind at ``p``, else that of all."""
-    at = lambda steps: F.element_at(F.filter(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps]), lambda s: (s["x"] <= p) | (s["x"] == steps[0][0])), -1)["y"]
-    out = at(curves[""])
-    for k, steps in curves.items():
-        if k:
-            out = F.when(kind == k, at(steps)).otherwise(out)
-    return out
+def _calibrated(kind: Column, p: Column, worded: Column, curves: dict[str, list[tuple[float, float]]]) -> Column:
+    """The curve of a kind at ``p``, else that of all; figures without words have curves of their own."""
+
+    def at(steps: list[tuple[float, float]]) -> Column:
+        if not steps:
+            return F.lit(0.0)
+        return F.element_at(F.filter(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps]), lambda s: (s["x"] <= p) | (s["x"] == steps[0][0])), -1)["y"]
+
+    def of(mark: str) -> Column:
+        out = at(curves[mark])
+        for k, steps in curves.items():
+            if k.startswith(mark) and k.removeprefix(mark).isalpha():
+                out = F.when(kind == k.removeprefix(mark), at(steps)).otherwise(out)
+        return out
+
+    return F.when(worded, of("")).otherwise(of("~"))
 
 
 def predict(unlabelled: DataFrame, fitted: Fitted) -> DataFrame:
     """Adds to quantities without a unit beside them the forest's ``label`` with its calibrated ``probability``, and
     ``offered``, the probability it gives to the unit that a neighbouring field names."""
-    scored = fitted.model.transform(_worded(features(unlabelled), fitted.wordings)).withColumn("ps", _array("probability"))
+    worded = _worded(features(unlabelled), fitted.wordings)
+    scored = fitted.model.transform(worded.where("f_worded >= 0")).unionByName(fitted.bare.transform(worded.where("f_worded < 0"))).withColumn("ps", _array("probability"))
     names = F.array(*map(F.lit, fitted.labels))
     place = F.array_position(names, F.col("named"))
     named = scored.withColumns({"label": F.element_at(names, F.col("prediction").cast("int") + 1), "p": F.array_max("ps"), "offered": F.when(place > 0, F.element_at("ps", place.cast("int")))})
-    return named.withColumn("probability", _calibrated(F.split("label", r"\|")[0], F.col("p"), fitted.curves)).drop("ps", "p", "rawPrediction", "prediction", "features")
+    return named.withColumn("probability", _calibrated(F.split("label", r"\|")[0], F.col("p"), F.col("f_worded") >= 0, fitted.curves)).drop("ps", "p", "rawPrediction", "prediction", "features", "v_fields")
 
 
 def read_facts(facts: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
