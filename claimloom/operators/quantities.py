@@ -225,14 +225,14 @@ def isotonic(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 OWN_CURVE = 30
 
 
-def _forest(rows: DataFrame, numbers: list[str], seed: int) -> PipelineModel:
+def _forest(rows: DataFrame, numbers: list[str], seed: int, trees: int, depth: int) -> PipelineModel:
     """A forest over labelled rows, from the stated numbers and the hashed fields; labels count in order of code point."""
     steps = [
         FeatureHasher(inputCols=_WORDY, outputCol="v_fields", numFeatures=64),
         # The numbers have slots of their own, which no hashed field shares.
         VectorAssembler(inputCols=[*numbers, "v_fields"], outputCol="features"),
         StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip", stringOrderType="alphabetAsc"),
-        RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=20, maxDepth=12, maxBins=64, seed=seed, featureSubsetStrategy="0.5"),
+        RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=trees, maxDepth=depth, maxBins=64, seed=seed, featureSubsetStrategy="0.5"),
     ]
     fitted = Pipeline(stages=steps).fit(rows)
     return PipelineModel([*fitted.stages[:2], fitted.stages[3]])
@@ -261,7 +261,7 @@ def train(labelled: DataFrame, per_unit: int = PER_UNIT, sample: int = SAMPLE, s
     halves = [Wordings([(r["words"], index[r["label"]]) for r in fit_rows if r["h"] % 2 == k], len(labels)) for k in (1, 0)]
     wordings = Wordings([(r["words"], index[r["label"]]) for r in fit_rows], len(labels))
     for_fit = _worded(rows.where("for_fit"), *halves)
-    model, bare = _forest(for_fit, _NUMERIC, seed), _forest(for_fit, _BARE, seed)
+    model, bare = _forest(for_fit, _NUMERIC, seed, 16, 12), _forest(for_fit, _BARE, seed, 8, 8)
     held_out = _worded(rows.where("not for_fit"), wordings)
     scored = model.transform(held_out.where("f_worded >= 0")).withColumn("worded", F.lit(True)).unionByName(bare.transform(held_out).withColumn("worded", F.lit(False)))
     judged = scored.select("label", F.array_max(_array("probability")).alias("p"), F.col("prediction").cast("int").alias("i"), "worded").collect()

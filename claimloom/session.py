@@ -109,6 +109,13 @@ def tidied(make: Callable) -> Callable:
     return run
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores, for Python stages that cost more than a shuffle of a
+    small input; a scan that has as many already, as any large one does, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_rows(df: DataFrame, max_rows: int) -> list | None:
     """The rows of a table known to be small, or None when it has more than ``max_rows``.
 
