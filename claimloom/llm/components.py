@@ -30,14 +30,20 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p")).select("p.v", "p.u")
 
 
-def _looked_up(rows: DataFrame, key: str, table: DataFrame, hot_rows: int) -> DataFrame:
-    """``rows`` joined by ``key`` with a table of one row a key and ``n``, how many of ``rows`` have it; ``n`` is dropped.
+def _size(table: DataFrame) -> tuple[int, int]:
+    """Sum and largest of ``n``."""
+    row = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    return row["rows"], row["most"]
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, hot_rows: int, size: tuple[int, int]) -> DataFrame:
+    """``rows`` joined by ``key`` with a table of one row a key and ``n``, how many of ``rows`` have it (``size``: sum and
+    largest); ``n`` is dropped.
 
     A key with more than ``hot_rows`` rows, or a ten-thousandth of all, would make a skewed partition. There are
     ``MOST_HOT`` such keys at most by construction: they are broadcast, and their rows stay where they are."""
-    size = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
-    limit = max(hot_rows, size["rows"] // MOST_HOT)
-    if size["most"] <= limit:
+    limit = max(hot_rows, size[0] // MOST_HOT)
+    if size[1] <= limit:
         return rows.join(table.drop("n"), key)
     hot = F.broadcast(table.where(F.col("n") > limit).drop("n"))
     cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= limit).drop("n"), key)
@@ -65,17 +71,19 @@ def hash_to_min(edges: DataFrame, a: str, b: str, hot_rows: int = HOT_ROWS) -> D
     links, links_path = materialise(links, "links")
     degrees = links.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     vertices, vertices_path = materialise(degrees.withColumn("k", F.monotonically_increasing_id()), "vertices")
-    by_x = _looked_up(links, "x", vertices.selectExpr("id as x", "k as kx", "n"), hot_rows)
-    numbered = _looked_up(by_x.select("kx", "y"), "y", vertices.selectExpr("id as y", "k as ky", "n"), hot_rows)
+    size = _size(vertices)
+    by_x = _looked_up(links, "x", vertices.selectExpr("id as x", "k as kx", "n"), hot_rows, size)
+    numbered = _looked_up(by_x.select("kx", "y"), "y", vertices.selectExpr("id as y", "k as ky", "n"), hot_rows, size)
     pairs, path = materialise(_both_ways(numbered.selectExpr("least(kx, ky) as m", "greatest(kx, ky) as u")), "pairs")
     rounds: list[tuple[DataFrame, str]] = []
     while True:
         flagged, flagged_path = materialise(_flagged(pairs), "minima")
         rounds.append((flagged, flagged_path))
         open_ = flagged.where("not done").select("v", "m", "n")
-        if open_.isEmpty():
+        size = _size(open_)
+        if not size[0]:
             break
-        known = _looked_up(pairs, "v", open_, hot_rows).select("m", "u")
+        known = _looked_up(pairs, "v", open_, hot_rows, size).select("m", "u")
         met = known.where("m <> u").unionAll(open_.selectExpr("m", "v as u").where("m <> u")).distinct()
         after, new_path = materialise(_both_ways(met), "pairs")
         discard(spark, path)
@@ -83,7 +91,7 @@ def hash_to_min(edges: DataFrame, a: str, b: str, hot_rows: int = HOT_ROWS) -> D
     found = reduce(DataFrame.unionAll, [f.where("done").select("v", "m") for f, _ in rounds])
     named, named_path = materialise(found.join(vertices.selectExpr("k as v", "id"), "v").select("id", "m"), "members")
     smallest, smallest_path = materialise(named.groupBy("m").agg(F.min("id").alias("group_id"), F.count("*").alias("n")), "smallest")
-    groups, _ = materialise(_looked_up(named, "m", smallest, hot_rows).select("id", "group_id"), "groups")
+    groups, _ = materialise(_looked_up(named, "m", smallest, hot_rows, _size(smallest)).select("id", "group_id"), "groups")
     for p in [links_path, vertices_path, path, named_path, smallest_path, *(p for _, p in rounds)]:
         discard(spark, p)
     return groups

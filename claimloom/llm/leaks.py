@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, tidied
+from ..session import materialise, spread, tidied
 from .lookalikes import one_look
 
 #: Consecutive words that make a leak.
@@ -96,7 +96,7 @@ def _grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _spans(documents: DataFrame, items: DataFrame, max_windows: int, max_vocabulary: int) -> DataFrame:
     """``doc_id, t, item_id, char_start, char_end``: maximal runs, apart for each text ``t`` (its hash) under one id."""
     spark = documents.sparkSession
-    corpus = documents.select("doc_id", "text", F.xxhash64("text").alias("t")).where("doc_id is not null and text is not null")
+    corpus = spread(documents.select("doc_id", "text", F.xxhash64("text").alias("t")).where("doc_id is not null and text is not null"))
     tests = items.select("item_id", "text").where("item_id is not null and text is not null")
     grams, _ = materialise(tests.mapInPandas(_grams_of, "item_id bigint, gram string, h bigint"), "grams")
     words = grams.select(F.explode(F.split("gram", " ")).alias("w")).distinct()

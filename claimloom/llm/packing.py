@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, tidied
+from ..session import materialise, spread, tidied
 
 CAPACITY = 2048
 #: Tokens that one group packs: about 2,000 containers, so a group is one small task at any corpus size.
@@ -94,7 +94,7 @@ def token_counts(documents: DataFrame, path: str, capacity: int = CAPACITY) -> D
             rows = [measured(t, path, capacity) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [r[0] for r in rows], "n_bytes": [r[1] for r in rows], "cuts": [r[2] for r in rows]})
 
-    counted = documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id bigint, n_tokens bigint, n_bytes bigint, cuts array<bigint>")
+    counted = spread(documents.select("doc_id", "text").where("doc_id is not null")).mapInPandas(run, "doc_id bigint, n_tokens bigint, n_bytes bigint, cuts array<bigint>")
     return counted.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "n_bytes", "cuts")).alias("m")).select("doc_id", "m.*")
 
 

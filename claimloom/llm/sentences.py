@@ -11,6 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .lookalikes import UNSEEN, one_look
 
 
@@ -385,4 +386,4 @@ def sentences(documents: DataFrame) -> DataFrame:
 
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     # Doubles are dropped among the narrow spans: the texts themselves are never shuffled.
-    return texts.mapInPandas(run, "doc_id bigint, sent_start int, sent_end int").distinct()
+    return spread(texts).mapInPandas(run, "doc_id bigint, sent_start int, sent_end int").distinct()
