@@ -261,7 +261,7 @@ def train(labelled: DataFrame, per_unit: int = PER_UNIT, sample: int = SAMPLE, s
     halves = [Wordings([(r["words"], index[r["label"]]) for r in fit_rows if r["h"] % 2 == k], len(labels)) for k in (1, 0)]
     wordings = Wordings([(r["words"], index[r["label"]]) for r in fit_rows], len(labels))
     for_fit = _worded(rows.where("for_fit"), *halves)
-    model, bare = _forest(for_fit, _NUMERIC, seed, 16, 12), _forest(for_fit, _BARE, seed, 8, 8)
+    model, bare = _forest(for_fit, _NUMERIC, seed, 20, 12), _forest(for_fit, _BARE, seed, 20, 12)
     held_out = _worded(rows.where("not for_fit"), wordings)
     scored = model.transform(held_out.where("f_worded >= 0")).withColumn("worded", F.lit(True)).unionByName(bare.transform(held_out).withColumn("worded", F.lit(False)))
     judged = scored.select("label", F.array_max(_array("probability")).alias("p"), F.col("prediction").cast("int").alias("i"), "worded").collect()
