@@ -5,11 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from ..session import materialise, tidied
+
 # Words dropped before a name, after it, and inside it; names that only point.
 HONORIFICS = "mr mrs ms miss dr prof shri smt sri sh hon justice capt col gen rev sir".split()
 SUFFIXES = "limited ltd llp llc inc incorporated corp corporation plc pvt private co company gmbh sa nv bv ag holdings group and &".split()
@@ -69,17 +71,38 @@ def initials_form(key: Column) -> Column:
     return F.array_join(F.concat(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: F.substring(x, 1, 1)), F.slice(w, -1, 1)), " ")
 
 
+def _begins(x: Column, y: Column) -> Column:
+    """Equal keys, or one key beginning with the other's words (first word longer than three)."""
+    wx, wy = F.split(x, " "), F.split(y, " ")
+    shorter = F.when(F.size(wx) <= F.size(wy), wx).otherwise(wy)
+    longer = F.when(F.size(wx) <= F.size(wy), wy).otherwise(wx)
+    return (x == y) | ((F.slice(longer, 1, F.greatest(F.size(shorter), F.lit(1))) == shorter) & (F.length(shorter[0]) > 3))
+
+
 def same_entity(a: Column, b: Column) -> Column:
     """Equal keys, one key beginning with the other's words (first word longer than three), or equal initials forms.
     An empty key is nobody's."""
-
-    def decide(x: Column, y: Column) -> Column:
-        wx, wy = F.split(x, " "), F.split(y, " ")
-        shorter = F.when(F.size(wx) <= F.size(wy), wx).otherwise(wy)
-        longer = F.when(F.size(wx) <= F.size(wy), wy).otherwise(wx)
-        starts = (F.slice(longer, 1, F.greatest(F.size(shorter), F.lit(1))) == shorter) & (F.length(shorter[0]) > 3)
-        return (x == y) | starts | ((F.size(wx) >= 2) & (F.size(wy) >= 2) & (initials_form(x) == initials_form(y)))
-
     # No ``let`` here: the accent-folding UDF may not stand inside a lambda.
     x, y = entity_key(a), entity_key(b)
-    return F.when((x == "") | (y == ""), False).otherwise(decide(x, y))
+    several = (F.size(F.split(x, " ")) >= 2) & (F.size(F.split(y, " ")) >= 2)
+    return F.when((x == "") | (y == ""), False).otherwise(_begins(x, y) | (several & (initials_form(x) == initials_form(y))))
+
+
+@tidied
+def same_pairs(keyed: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of distinct ``entity`` values with their ``key`` that ``same_entity`` holds for, each once.
+
+    A key meets the keys that are one of its own beginnings, and those of its initials form, so that the joins give little
+    but pairs of the result however many names share a first word. Keys are written first, and
+    filtered only then: else each use computes them, and a filter on them passes below the ``distinct`` of the names.
+    """
+    written, _ = materialise(keyed.select("entity", "key"), "entities")
+    named = written.where("key <> ''")
+    words = F.split("key", " ")
+    begun = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    longer = named.select(F.col("entity").alias("y"), F.col("key").alias("whole"), F.explode(begun).alias("key"))
+    first = F.split("key", " ")[0]
+    met = named.withColumnRenamed("entity", "x").join(longer, "key").where(F.when(F.col("key") == F.col("whole"), F.col("x") < F.col("y")).otherwise(F.length(first) > 3))
+    several = named.where(F.size(words) >= 2).withColumn("ini", initials_form(F.col("key")))
+    short = several.selectExpr("entity as x", "key as kx", "ini").join(several.selectExpr("entity as y", "key as ky", "ini"), "ini").where("x < y").where(~_begins(F.col("kx"), F.col("ky")))
+    return met.select("x", "y").unionAll(short.select("x", "y")).selectExpr("least(x, y) as a", "greatest(x, y) as b")

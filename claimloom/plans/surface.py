@@ -165,11 +165,9 @@ def scale_suffix(spark, sf_dir):
 
 
 def same_entities(spark, sf_dir):
-    """Whether each entity is the same as others whose key begins with the same word or has the same initials form."""
-    e = table(spark, sf_dir, "facts").where("entity is not null").select("entity").distinct().withColumn("k", entities.entity_key(F.col("entity")))
-    e = e.withColumn("block", F.explode(F.array_distinct(F.array(F.concat(F.lit("w"), F.split("k", " ")[0]), F.concat(F.lit("i"), entities.initials_form(F.col("k")))))))
-    met = e.selectExpr("entity as a", "block").join(e.selectExpr("entity as b", "block"), "block").where("a < b").select("a", "b").distinct()
-    return met.where(entities.same_entity(F.col("a"), F.col("b"))).select("a", "b")
+    """Entities that are the same: equal keys, one beginning with the other's words, or equal initials forms."""
+    e = table(spark, sf_dir, "facts").where("entity is not null").select("entity").distinct()
+    return entities.same_pairs(e.withColumn("key", entities.entity_key(F.col("entity"))))
 
 
 def titles(spark, sf_dir):
