@@ -41,6 +41,17 @@ _record: ContextVar[list[str] | None] = ContextVar("claimloom_record", default=N
 _left: set[str] = set()
 
 
+def reserve(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted like the tables of ``materialise``."""
+    path = f"{shared_folder(spark)}/claimloom-{uuid.uuid4().hex[:12]}-{label}"
+    if not _left:
+        atexit.register(_sweep)
+    _left.add(path)
+    if (record := _record.get()) is not None:
+        record.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table into the shared folder and read it back: the lineage ends there.
 
@@ -48,12 +59,7 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     deleted when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/claimloom-{uuid.uuid4().hex[:12]}-{label}"
-    if not _left:
-        atexit.register(_sweep)
-    _left.add(path)
-    if (record := _record.get()) is not None:
-        record.append(path)
+    path = reserve(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
