@@ -10,6 +10,10 @@ from .adjudicate import FACT_FIELDS, adjudicate
 #: Facts a block keeps: its pairs are bounded by MAX_BLOCK * (MAX_BLOCK - 1) / 2 whatever the key's share of all rows.
 MAX_BLOCK = 120
 KEYS = ["measure_key", "entity_key"]
+#: Facts of a tile's side, and tiles of a band. A run of bit-packed Parquet values is 504 long, so that tiles of that side
+#: repeat byte for byte in a dictionary-encoded column.
+TILE = 504
+BAND = 8
 RELATION_RANK = ("contradicts", "reconciled", "supersedes", "corroborates", "related", "undetermined")
 
 
@@ -48,6 +52,25 @@ def _inside(kept: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return first.select(*KEYS, "a", F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("b")).where("a.id < b.id")
 
 
+def _whole(kept: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """All pairs inside blocks of any size, as tiles of ``TILE`` by ``TILE`` facts in order of id.
+
+    Facts of a block are numbered once and gathered by ``TILE``; every two bands of such rows meet under a key of their own,
+    so that a large block is spread over tasks and no side of it is buffered fact by fact. Pairs come out tile by tile, one
+    fact against a whole side, and large blocks first in each task: a written result then keeps to its dictionaries and
+    compresses to a small part.
+    """
+    at = F.row_number().over(Window.partitionBy(*KEYS).orderBy("id")) - 1
+    rows = kept.select(*KEYS, "id", F.struct(*fields).alias("f")).withColumn("row", F.floor(at / TILE).cast("int"))
+    rows = rows.groupBy(*KEYS, "row").agg(F.array_sort(F.collect_list(F.struct("id", "f"))).alias("fs"))
+    rows = rows.select((-F.max("row").over(Window.partitionBy(*KEYS))).alias("large"), *KEYS, F.floor(F.col("row") / BAND).cast("int").alias("band"), "row", F.col("fs.f").alias("fs"))
+    on = ["large", *KEYS, "low", "high"]
+    left = rows.select("large", *KEYS, F.col("band").alias("low"), F.explode(F.sequence("band", F.floor(-F.col("large") / BAND).cast("int"))).alias("high"), F.col("row").alias("i"), F.col("fs").alias("x"))
+    right = rows.select("large", *KEYS, F.explode(F.sequence(F.lit(0), F.col("band"))).alias("low"), F.col("band").alias("high"), F.col("row").alias("j"), F.col("fs").alias("y"))
+    tiles = left.join(right, on).where("i <= j and (i < j or size(x) > 1)")
+    return tiles.select(*KEYS, "y", F.explode("x").alias("a")).select(*KEYS, "a", F.explode("y").alias("b")).where("a.id < b.id")
+
+
 def candidate_pairs(facts: DataFrame, new_doc: int | None = None, cross_document_only: bool = False, max_block: int | None = MAX_BLOCK, fields: tuple[str, ...] = FACT_FIELDS) -> DataFrame:
     """All pairs ``a.id < b.id`` inside capped blocks, as two structs.
 
@@ -67,7 +90,7 @@ def candidate_pairs(facts: DataFrame, new_doc: int | None = None, cross_document
         first = F.col("x.id") < F.col("y.id")
         pairs = met.select(*KEYS, F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
         return pairs.where("a.doc_id <> b.doc_id") if cross_document_only else pairs
-    pairs = _sided(kept, "a", fields).join(_sided(kept, "b", fields), KEYS).where("a.id < b.id") if max_block is None else _inside(kept, fields)
+    pairs = _whole(kept, fields) if max_block is None else _inside(kept, fields)
     if new_doc is not None:
         pairs = pairs.where((F.col("a.doc_id") == new_doc) | (F.col("b.doc_id") == new_doc))
     if cross_document_only:
